@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from walkloom.llm.exact_dedup import exact_groups
 from walkloom.llm.mixing import mix
 from walkloom.llm.near_dup import near_duplicates
+from walkloom.llm.packing import pack
+from walkloom.llm.quality import quality_scores
 from walkloom.sharedfs import table
 
 
@@ -15,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), window=2048, with_ids=False).drop("ids")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"))
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -24,8 +30,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return q.select(F.col("id").alias("doc_id"), "held_out", "score", F.col("accepted").cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
