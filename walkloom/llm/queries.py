@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walkloom.llm.exact_dedup import exact_groups
+from walkloom.llm.media import decode_media, encode_media
 from walkloom.llm.mixing import mix
 from walkloom.llm.near_dup import near_duplicates
 from walkloom.llm.packing import pack
@@ -35,6 +36,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("id").alias("doc_id"), "held_out", "score", F.col("accepted").cast("int").alias("predicted"))
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decode_media(encode_media(table(spark, sf_dir, "documents")), tensor=False)
+    tail = F.crc32(F.expr("substring(payload, -64)"))
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
