@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from walkloom.llm.chat import as_records, format_records, read_back
 from walkloom.llm.exact_dedup import exact_groups
+from walkloom.llm.licences import known_licences, scan_licences
 from walkloom.llm.media import decode_media, encode_media
 from walkloom.llm.mixing import mix
 from walkloom.llm.near_dup import near_duplicates
 from walkloom.llm.packing import pack
 from walkloom.llm.quality import quality_scores
+from walkloom.llm.secrets import fit_forest, labelled_findings, scan_secrets
+from walkloom.llm.warc import captures_of_pages, resolve_revisits
 from walkloom.sharedfs import table
 
 
@@ -18,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=2048, with_ids=False).drop("ids")
 
@@ -36,12 +44,30 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("id").alias("doc_id"), "held_out", "score", F.col("accepted").cast("int").alias("predicted"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolve_revisits(captures_of_pages(table(spark, sf_dir, "pages")))
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    return r.select("record_id", "canonical_url", "time", "verdict", "response_id", "response_time", merged.alias("merged_headers"), "payload_sha256", "payload_chars")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"), fit_forest(labelled_findings(spark)))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decode_media(encode_media(table(spark, sf_dir, "documents")), tensor=False)
     tail = F.crc32(F.expr("substring(payload, -64)"))
     return d.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_records(as_records(turns.unionByName(extra)))).withColumnRenamed("key", "conv_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
