@@ -3,10 +3,11 @@
 1. Every text becomes the set of its distinct shingles; texts with equal sets form a class, kept once (copies are
    links by definition and never meet in a bucket).
 2. Signatures of `perms` MinHash values are cut into bands of `rows`; classes that share a band value are
-   candidates. A bucket never emits all its pairs: it compares a few pivots with the rest. First pivot: the member
-   whose buckets are fullest (the centre of a group of copies). After linking, a bucket goes on, with four times the
-   pivots each round, only while members that were not pivots lie in different components; pairs inside one
-   component can change nothing. So in the end every candidate pair was compared or is joined by other links.
+   candidates. A bucket of up to `small` members compares them all; a larger one never emits all its pairs but
+   compares pivots with the rest. First pivot: the member whose buckets are fullest (the centre of a group of
+   copies). After linking, a bucket goes on, with four times the pivots each round, only while members that were not
+   pivots lie in different components; pairs inside one component can change nothing. So in the end every candidate
+   pair was compared or is joined by other links.
 3. A pair's signatures are compared `batch` values at a time; it is dropped once the posterior probability (uniform
    prior, binomial matches) that its similarity reaches the threshold is below `miss`.
 4. Survivors are confirmed on full shingle sets: 100 * |A n B| >= 100 * threshold * |A u B| in integers.
@@ -130,7 +131,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, batch: int = 16, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, batch: int = 16, miss: float = 1e-6, small: int = 5) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept, class_id)."""
     run, kinds = _sketch(k, perms, rows)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -143,10 +144,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     members = materialize(members.join(full, "bucket"), "near-buckets")
+    few = members.filter(F.col("m") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    close = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
     weight = members.groupBy("cid").agg(F.sum("m").alias("w"))
-    members = members.join(weight, "cid").select("bucket", "cid", "m", "w")
+    members = materialize(members.filter(F.col("m") > small).join(weight, "cid").select("bucket", "cid", "m", "w"), "near-large")
     centre = members.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("cid")).alias("c")))["c"].alias("c")).select("bucket", (-F.col("c")).alias("pivot"))
-    pairs = members.join(centre, "bucket").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    pairs = members.join(centre, "bucket").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -165,12 +169,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = linked(pairs)
     roots = component_labels(links)
-    done, pivots = 1, 4
+    done, pivots = 1, 8
     placed = None
     while True:
         at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")) if placed is None else placed.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         if placed is None:
-            mixed = at.filter("m > 2").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+            mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("w").desc(), "cid"))
             at = at.join(mixed, "bucket", "left_semi").withColumn("rank", rank)
         open_ = at.filter(F.col("rank") > done).groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
