@@ -3,11 +3,13 @@
 1. Every text becomes the set of its distinct shingles; texts with equal sets form a class, kept once (copies are
    links by definition and never meet in a bucket).
 2. Signatures of `perms` MinHash values are cut into bands of `rows`; classes that share a band value are
-   candidates. A bucket of up to `small` members compares them all; a larger one never emits all its pairs but
-   compares pivots with the rest. First pivot: the member whose buckets are fullest (the centre of a group of
-   copies). After linking, a bucket goes on, with four times the pivots each round, only while members that were not
-   pivots lie in different components; pairs inside one component can change nothing. So in the end every candidate
-   pair was compared or is joined by other links.
+   candidates. A bucket of up to `small` members compares them all; a larger one never emits all its pairs. First,
+   its pivot, the member whose buckets are fullest (the centre of a group of copies), is compared with the rest.
+   Pairs inside one component can change nothing, so a bucket whose members are one component is done. In the
+   others, members x and y of different components are compared only if they can still be linked, given what they
+   share with the pivot c: of |x n y| at most min(|x n c|, |y n c|) lies inside c. Either that alone suffices, which
+   bounds |y| from above, or x and y share enough outside c, and then meet in the rarest-first prefixes of x - c and
+   y - c (prefix filter). Every other pair is provably below the threshold, so all candidate pairs are settled.
 3. A pair's signatures are compared `batch` values at a time; it is dropped once the posterior probability (uniform
    prior, binomial matches) that its similarity reaches the threshold is below `miss`.
 4. Survivors are confirmed on full shingle sets: 100 * |A n B| >= 100 * threshold * |A u B| in integers.
@@ -95,6 +97,28 @@ def _sets_of(k: int):
     return run
 
 
+def _beside(percent: int):
+    """(pivot, cid, root, set of cid, set of pivot) -> what cid shares with the pivot, and what lies outside it.
+    reach: largest size of another text that could be linked through the pivot's shingles alone; prefix: how many of
+    the rarest shingles outside the pivot must hold a shared one, if another text is to be linked through those."""
+    names = ["pivot", "cid", "root", "n", "reach", "prefix", "outside"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for c, i, root, x, p in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                x, p = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
+                rest = np.setdiff1d(x, p, assume_unique=True)
+                both = len(x) - len(rest)
+                need = max(1, -(-percent * len(x) // 100) - both)
+                out.append((c, i, root, len(x), (100 + percent) * both // percent - len(x), max(0, len(rest) - need + 1), rest.view(np.int64)))
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+            cols = zip(*out, strict=True) if out else [[]] * 7
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=names)
+
+    return run
+
+
 def _prune(perms: int, batch_size: int, threshold: float, miss: float):
     """(a, b, sig_a, sig_b) -> surviving (a, b)."""
     need = [(n, least_matches(n, threshold, miss)) for n in range(batch_size, perms + 1, batch_size)]
@@ -152,42 +176,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = members.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("cid")).alias("c")))["c"].alias("c")).select("bucket", (-F.col("c")).alias("pivot"))
     pairs = members.join(centre, "bucket").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
 
+    def sets_of(who: DataFrame) -> DataFrame:
+        """(cid, shingles) of the classes in who(cid): their texts are found again by id, and cut again."""
+        ids = sketch.filter("n > 0").select("id", "digest").join(who.join(classes.select("cid", "digest"), "cid"), "digest").groupBy("cid").agg(F.min("id").alias("id"))
+        wanted = text.join(ids, "id").groupBy("cid").agg(F.min("text").alias("text")).select("cid", "text")
+        return materialize(wanted.mapInArrow(_sets_of(k), "id long, shingles binary").withColumnRenamed("id", "cid"), "near-sets")
+
+    def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+        p = pairs.join(sets.select(F.col("cid").alias(b), F.col("shingles").alias("set_b")), b)
+        return p.join(sets.select(F.col("cid").alias(a), F.col("shingles").alias("set_a")), a)
+
     def linked(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
         p = p.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b")
         alive = materialize(p.mapInArrow(_prune(perms, batch, percent / 100, miss), "a long, b long"), "near-alive")
-        who = alive.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "digest"), "cid")
-        # The classes' texts are found again by id where there is one, else by digest; sets are rebuilt from them.
-        ids = sketch.filter("n > 0").select("id", "digest").join(who, "digest").groupBy("cid").agg(F.min("id").alias("id"))
-        wanted = text.join(ids, "id").groupBy("cid").agg(F.min("text").alias("text")).select("cid", "text")
-        sets = materialize(wanted.mapInArrow(_sets_of(k), "id long, shingles binary"), "near-sets")
-        q = alive.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        q = q.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-        out = materialize(q.mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+        sets = sets_of(alive.select("a").union(alive.select("b")).distinct().withColumnRenamed("a", "cid"))
+        out = with_sets(alive, sets, "a", "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+        out = materialize(out, "near-links")
         release(alive, sets)
         return out
 
     links = linked(pairs)
     roots = component_labels(links)
-    done, pivots = 1, 8
-    placed = None
-    while True:
-        at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")) if placed is None else placed.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        if placed is None:
-            mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("w").desc(), "cid"))
-            at = at.join(mixed, "bucket", "left_semi").withColumn("rank", rank)
-        open_ = at.filter(F.col("rank") > done).groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-        now = materialize(at.join(open_, "bucket", "left_semi"), "near-open")
-        release(placed)
-        placed = now
-        if not placed.limit(1).count():
-            break
-        lead = placed.filter((F.col("rank") > done) & (F.col("rank") <= done + pivots)).select("bucket", F.col("cid").alias("pivot"), F.col("rank").alias("p_rank"), F.col("root").alias("p_root"))
-        pairs = placed.join(lead, "bucket").filter("rank > p_rank and root <> p_root").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        links = materialize(links.unionByName(linked(pairs)), "near-links")
-        roots = component_labels(links)
-        done, pivots = done + pivots, pivots * 4
+    at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    open_ = materialize(at.join(centre.join(open_, "bucket", "left_semi"), "bucket").select("pivot", "cid", "root").distinct(), "near-open")
+    if open_.limit(1).count():
+        sets = sets_of(open_.select("cid").distinct())
+        beside = with_sets(open_, sets, "pivot", "cid").select("pivot", "cid", "root", "set_b", "set_a")
+        beside = materialize(beside.mapInArrow(_beside(percent), "pivot long, cid long, root long, n long, reach long, prefix long, outside array<long>"), "near-beside")
+        # Through the pivot alone: sizes meet in steps of two per cent.
+        step = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.02)))
+        small_side = F.ceil(F.col("n") * percent / 100)
+        reach = beside.filter(F.col("reach") >= small_side).select("pivot", "cid", "root", "n", "reach", F.explode(F.sequence(step(small_side), step(F.col("reach")))).alias("step"))
+        other = beside.select("pivot", F.col("cid").alias("o_cid"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("reach").alias("o_reach"), step(F.col("n")).alias("step"))
+        # Members linked with the pivot are one component; the side without that link is spread over the steps.
+        near = reach.join(open_.filter("cid = pivot").select("pivot", F.col("root").alias("p_root")), "pivot").filter("root <> p_root")
+        near = near.join(other, ["pivot", "step"]).filter("root <> o_root and o_n <= reach and n <= o_reach").select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
+        # Outside the pivot: shared shingles among the rarest of each.
+        each = beside.filter("prefix > 0").select("pivot", "cid", "root", "prefix", F.explode("outside").alias("shingle"))
+        seen = each.groupBy("pivot", "shingle").agg(F.count("*").alias("df"))
+        rare = F.row_number().over(Window.partitionBy("pivot", "cid").orderBy("df", "shingle"))
+        head = each.join(seen, ["pivot", "shingle"]).withColumn("place", rare).filter("place <= prefix and df > 1").select("pivot", "shingle", "cid", "root")
+        head = materialize(head, "near-prefix")
+        far = head.join(head.select("pivot", "shingle", F.col("cid").alias("o_cid"), F.col("root").alias("o_root")), ["pivot", "shingle"]).filter("cid < o_cid and root <> o_root").select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
+        more = linked(near.unionByName(far).distinct())
+        if more.limit(1).count():
+            roots = component_labels(links.unionByName(more))
     comp = classes.select("digest", "cid", "low").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = comp.groupBy("root").agg(F.min("low").alias("component_id"))
     comp = materialize(comp.join(named, "root").select("digest", "cid", "component_id"), "near-components")
