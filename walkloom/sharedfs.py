@@ -26,7 +26,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    out = spark.read.parquet(path) if partition_by else spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
     out._walkloom_path = path
     return out
 
