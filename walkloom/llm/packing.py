@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.tokens import PieceTokenizer, default_tokenizer
+from walkloom.llm.tokens import PieceTokenizer, default_tokenizer, shared_tokenizer
 from walkloom.sharedfs import materialize
 
 _PARTS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
@@ -39,7 +39,7 @@ def _tokenise(path: str, end_id: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok = PieceTokenizer(path)
+        tok = shared_tokenizer(path)
         kind_of = np.uint16 if tok.vocabulary <= 1 << 16 else np.uint32
         seen = np.zeros(max(tok.vocabulary, end_id + 1), np.int64)
         sequence = (1 << 62) + (TaskContext.get().partitionId() << 36)

@@ -1,13 +1,18 @@
 """Token ids of whole texts by the `tokenizers` library, each distinct piece encoded once.
 
 The byte-level pattern never joins what stands before a space to what follows it when a visible character comes
-next, so a text may be cut before each such space and the pieces encoded on their own. The cuts are found on the
-text's bytes, equal pieces by Arrow's dictionary encoding, and only pieces not seen lately reach the library. Texts
-that hold a special token's string are encoded whole.
+next, nor an ASCII letter to an ASCII sign or digit after it, so a text may be cut at these places and the pieces
+encoded on their own. The cuts are found on the text's bytes, equal pieces by Arrow's dictionary encoding, and only
+pieces that a worker process has not seen lately reach the library. Texts that hold a special token's string are
+encoded whole.
 """
 
 from __future__ import annotations
 
+import os
+from functools import lru_cache
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +23,10 @@ from walkloom.llm.textkernels import slices
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 _VISIBLE[0xC3] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = ~_LETTER
+_SIGN[:0x21] = _SIGN[0x7F:] = False
 
 
 def default_tokenizer() -> str:
@@ -27,23 +36,48 @@ def default_tokenizer() -> str:
 
 
 class PieceTokenizer:
-    def __init__(self, path: str, cache: int = 1 << 19):
+    """`cache` pieces at most are kept, with their ids in one flat array."""
+
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, list[int]] = {}
         self.most = cache
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = pieces
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[p] = e.ids
-        return [self.cache[p] for p in pieces]
+    def _learn(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 8192):
+            part = pieces[at : at + 8192]
+            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            first, n = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
+            while first + len(part) > len(self.start):
+                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+            total = int(n.sum())
+            while self.used + total > len(self.flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.start[first : first + len(part)] = self.used + np.cumsum(n) - n
+            self.size[first : first + len(part)] = n
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.used += total
+            self.slot.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _slots(self, pieces: list[str]) -> np.ndarray:
+        got = list(map(self.slot.get, pieces))
+        new = [p for p, g in zip(pieces, got, strict=True) if g is None]
+        if new:
+            if len(self.slot) + len(new) > self.most:
+                self._clear()
+                new = pieces
+            self._learn(new)
+            got = list(map(self.slot.__getitem__, pieces))
+        return np.array(got, np.int64)
 
     def _cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per row) of one slice."""
@@ -52,24 +86,21 @@ class PieceTokenizer:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         first = np.zeros(len(data), bool)
         first[:-1] = (data[:-1] == 32) & _VISIBLE[data[1:]]
+        first[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
         full = off[:-1] < off[1:]
-        first[off[1:][full] - 1] = False  # a text's last space has nothing after it
+        last = off[1:][full] - 1
+        first[last] &= data[last] != 32  # a text's last space has nothing after it
         first[off[:-1][full]] = True
         at = np.flatnonzero(first)
         pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        found = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
-        start = np.cumsum(size) - size
-        index = coded.indices.to_numpy()
-        n = size[index]
-        shift = start[index] - (np.cumsum(n) - n)
-        ids = flat[np.repeat(shift, n) + np.arange(int(n.sum()))]
+        slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.size[slot]
+        ids = self.flat[np.repeat(self.start[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         row = np.searchsorted(off, at, "right") - 1
         return ids, np.bincount(row, weights=n, minlength=rows).astype(np.int64)
 
-    def encode(self, text: pa.Array, most_bytes: int = 8 << 20):
+    def encode(self, text: pa.Array, most_bytes: int = 3 << 20):
         """(first row, ids, ids per row) slice by slice; null is empty."""
         plain = np.ones(len(text), bool)
         for s in self.special:
@@ -83,3 +114,10 @@ class PieceTokenizer:
                     parts[r] = np.array(self.tokenizer.encode(text[at + int(r)].as_py(), add_special_tokens=False).ids, np.uint32)
                 ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
             yield at, ids, n
+
+
+@lru_cache(2)
+def shared_tokenizer(path: str) -> PieceTokenizer:
+    """One tokenizer per worker process: pieces learned in one task serve the next."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    return PieceTokenizer(path)
