@@ -61,6 +61,11 @@ KNOWN = (
 )
 
 
+def sign_characters() -> str:
+    """What counts as a space between words."""
+    return _SIGNS
+
+
 def _words(text: Column) -> Column:
     """Canonical words, each between two spaces, lines kept."""
     c = F.lower(F.coalesce(text, F.lit("")))

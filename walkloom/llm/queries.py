@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walkloom.llm.chat import as_records, format_records, read_back
+from walkloom.llm.chat import CONTROLS, as_records, format_records, read_back
 from walkloom.llm.exact_dedup import exact_groups
-from walkloom.llm.licences import known_licences, scan_licences
+from walkloom.llm.licences import EQUIVALENTS, KNOWN, known_licences, scan_licences, sign_characters
 from walkloom.llm.media import decode_media, encode_media
 from walkloom.llm.mixing import mix
 from walkloom.llm.near_dup import near_duplicates
 from walkloom.llm.packing import pack
 from walkloom.llm.quality import quality_scores
 from walkloom.llm.secrets import fit_forest, labelled_findings, scan_secrets
-from walkloom.llm.warc import captures_of_pages, resolve_revisits
+from walkloom.llm.warc import TRACKING, captures_of_pages, resolve_revisits
 from walkloom.sharedfs import table
 
 
@@ -85,3 +85,62 @@ ORACLE = {
                      cast(count(*) over (partition by body) as bigint) as group_size, sha256(body) as text_sha256 from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w""",
 }
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_length(column: str) -> str:
+    rest = "|".join("".join("\\" + c if c in "|[]/<>" else c for c in x[1:]) for x in CONTROLS)
+    return f"length(regexp_replace({column}, '([<\\[])(\\\\*)({rest})', '\\1#\\2\\3', 'g'))"
+
+
+_SAID = "'</s>[INST] ok [/INST]'"
+ORACLE["op10_chat_format"] = f"""
+    with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all select -1, 0, 'user', {_SAID} union all select -1, 1, 'assistant', {_SAID})
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+           cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+           cast(sum(24 + length(role) + {_escaped_length("text")}) as bigint) as formatted_chars
+    from t group by conv_id"""
+
+
+def _canonical_words(column: str) -> str:
+    signs = " || ".join(_quoted(c) if c not in "\t\r\x0b\x0c" else f"chr({ord(c)})" for c in sign_characters())
+    c = f"regexp_replace(lower(coalesce({column}, '')), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright[^\\p{{L}}\\n]*(?:\\(c\\)|©|[0-9]{{4}})|\\(c\\)[^\\p{{L}}\\n]*[0-9]{{4}}|©)[^\\n]*$', '', 'g')"
+    c = f"translate({c}, {signs}, repeat(' ', {len(sign_characters())}))"
+    c = f"regexp_replace(regexp_replace({c}, ' +', '  ', 'g'), '(?m)^ *| *$', ' ', 'g')"
+    for spelt, kept in EQUIVALENTS:
+        c = f"replace({c}, {_quoted(' ' + spelt.replace(' ', '  ') + ' ')}, {_quoted(' ' + kept.replace(' ', '  ') + ' ')})"
+    return c
+
+
+_CLOSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
+_KNOWN_ROWS = ", ".join(f"({i}, {_quoted(n)}, {_quoted(k)}, {_quoted(t)})" for i, (n, k, t) in enumerate(KNOWN))
+ORACLE["op2_licence_scan"] = f"""
+    with k as (select kind, body, min_by(licence, place) as licence from (select place, licence, kind, {_CLOSED.format(_canonical_words("text"))} as body from (values {_KNOWN_ROWS}) v(place, licence, kind, text)) x group by 1, 2),
+    d as (select doc_id, {_canonical_words("text")} as w from documents),
+    l as (select doc_id, {_CLOSED.format("line")} as body from (select doc_id, unnest(string_split(w, chr(10))) as line from d) x),
+    n as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices, count(*) as lines from l join k on k.kind = 'notice' and k.body = l.body and l.body <> '' group by 1),
+    t as (select doc_id, {_CLOSED.format("w")} as body from d)
+    select t.doc_id, sha256(t.body) as text_digest, k.licence, coalesce(n.notices, '') as notices, coalesce(n.lines, 0) as notice_lines
+    from t left join k on k.kind = 'text' and k.body = t.body and t.body <> '' left join n on n.doc_id = t.doc_id"""
+
+_TRACKED = ", ".join(_quoted(x) for x in TRACKING)
+ORACLE["op7_warc_revisits"] = f"""
+    with u as (select page_id as p, html, md5(coalesce(html, '')) as tag, regexp_replace(regexp_replace(trim(url, ' '), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://', '') as u from pages),
+    v as (select *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^.*@', ''), '^www\\d*\\.', ''), ':(?:80|443)$|\\.$', '') || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') as base,
+                 list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ({_TRACKED}))) as q from u),
+    w as (select *, base || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as key, case when p % 13 = 0 then p * 10 - 5 else p * 10 + 7 + (p % 3) * 1000 end as asked,
+                 'day ' || cast(p // 100 as varchar) as day, case when p % 11 = 0 then 'other' else tag end as sent from v),
+    c as (select key, 2 * p as record_id, 10 * p as time, 1 as kind, p as r, p from w union all select key, 2 * p + 1, asked, 0, null, p from w),
+    s as (select *, last_value(r ignore nulls) over (partition by key order by time, kind, record_id rows between unbounded preceding and current row) as got from c),
+    j as (select s.record_id, s.key, s.time, m.p as mp, m.sent, m.day as mday, x.p as rp, x.tag as rtag, x.day as rday, x.html as rhtml,
+                 case when x.p is null then 'no_earlier_response' when m.p % 7 <> 0 and m.sent <> x.tag then 'validators_differ' when m.p % 7 = 0 and m.day <> x.day then 'validators_differ' else 'resolved' end as verdict
+          from s join w m on m.p = s.p left join w x on x.p = s.got where s.kind = 0)
+    select record_id, key as canonical_url, cast(time as bigint) as time, verdict, case when verdict = 'resolved' then 2 * rp end as response_id, case when verdict = 'resolved' then 10 * rp end as response_time,
+           case when verdict = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || cast(length(coalesce(rhtml, '')) as varchar) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || cast(time as varchar) || chr(10)
+             || 'etag: ' || case when mp % 7 = 0 or mp % 5 <> 0 or mp % 11 = 0 then '' else 'W/' end || '"' || case when mp % 7 = 0 then rtag else sent end || '"' || chr(10) || 'last-modified: ' || case when mp % 7 = 0 then mday else rday end end as merged_headers,
+           case when verdict = 'resolved' then sha256(coalesce(rhtml, '')) end as payload_sha256, case when verdict = 'resolved' then length(coalesce(rhtml, '')) end as payload_chars from j"""
