@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}+"
+CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+={0,2}"
 
 #: Words and word parts that random strings seldom hold.
 DICTIONARY = (
