@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from walkloom.sharedfs import materialize
+
 STEP = "struct<id:string,rev:boolean>"
 SEGMENTS = "locus_id string, seg_pos long, id string, seq string, length long, wc long, ws long, we long, members array<string>, depth double, depth_unit string, sn string, so long, sr int"
 LINKS = "locus_id string, link_pos long, from_id string, from_rev boolean, to_id string, to_rev boolean, wc long"
@@ -28,8 +30,9 @@ class Graph:
     def with_(self, **tables: DataFrame) -> Graph:
         return replace(self, **tables)
 
-    def cached(self) -> Graph:
-        return self.with_(**{k: v.persist() for k, v in vars(self).items() if v is not None})
+    def stored(self) -> Graph:
+        """The same tables, written once in the shared folder: later plans start from scans."""
+        return self.with_(**{k: materialize(v, f"graph-{k}") for k, v in vars(self).items() if v is not None})
 
 
 def pick_reference(g: Graph, sample: str | None = None) -> DataFrame:

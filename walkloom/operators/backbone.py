@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from walkloom.model import Graph
 from walkloom.operators.assembly import valid_links
 from walkloom.operators.iterate import components
+from walkloom.sharedfs import materialize
 
 
 def longest_contig(segments: DataFrame) -> DataFrame:
@@ -103,7 +104,8 @@ def component_backbones(links: DataFrame, paths: DataFrame, segments: DataFrame,
     1 a node), among the reference sample's where it has any, the first of equals; without paths the far ends of a
     double sweep, oriented by the links. paths(locus_id, walk_pos, step_pos, id, rev, path)."""
     edges = links.select("locus_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    comp = components(segments.select("locus_id", "id"), edges).join(segments.select("locus_id", "id", F.greatest(F.lit(1), "length").alias("w")), ["locus_id", "id"]).persist()
+    comp = components(segments.select("locus_id", "id"), edges).join(segments.select("locus_id", "id", F.greatest(F.lit(1), "length").alias("w")), ["locus_id", "id"])
+    comp = materialize(comp, "backbone-components")
     p = paths.join(comp, ["locus_id", "id"])
     is_ref = F.substring_index("path", "#", 1) == F.lit(reference_sample) if reference_sample else F.lit(False)
     cand = p.groupBy("locus_id", "component", "walk_pos", "path").agg(F.sum("w").alias("total")).withColumn("is_ref", is_ref)

@@ -9,18 +9,19 @@ from walkloom.model import Graph
 from walkloom.operators.axis import attach_points, reference_axis, skip_edges
 from walkloom.operators.coverage import bubble_coverage
 from walkloom.operators.iterate import components, path_extremes
+from walkloom.sharedfs import materialize
 
 
 def bubble_catalogue(g: Graph, ref: DataFrame) -> DataFrame:
     """(locus_id, entry_bp, exit_bp, ref_span, shortest, longest, node_count, node_ids, coverage, is_skip, link_from,
     link_to, pos). Components that do not touch the reference are left out. Ids that only links name extend a
     component with length 0. Path lengths are those of the forward links; with a cycle both are the whole length."""
-    axis = reference_axis(g, ref).persist()
+    axis = materialize(reference_axis(g, ref), "bubble-axis")
     node_cov, edge_cov = bubble_coverage(g)
     on_ref = axis.select("locus_id", "id")
     off = g.links.join(on_ref.withColumnRenamed("id", "from_id"), ["locus_id", "from_id"], "left_anti").join(on_ref.withColumnRenamed("id", "to_id"), ["locus_id", "to_id"], "left_anti").select("locus_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     alt = g.segments.join(on_ref, ["locus_id", "id"], "left_anti")
-    comp = components(alt.select("locus_id", "id"), off)
+    comp = materialize(components(alt.select("locus_id", "id"), off), "bubble-components")
     known = alt.select("locus_id", "id", "seg_pos", "length", "wc")
     member = comp.join(known, ["locus_id", "id"], "left").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
     # A component found from no declared segment does not exist.

@@ -10,13 +10,14 @@ from walkloom.model import Graph
 from walkloom.operators.axis import reference_axis, skip_edges
 from walkloom.operators.coverage import event_coverage
 from walkloom.operators.iterate import nearest_by_rounds
+from walkloom.sharedfs import materialize
 
 
 def nonref_events(g: Graph, ref: DataFrame, min_len: int = 0, search: int = 8) -> DataFrame:
     """(locus_id, id, len, left_bp, right_bp, skipped, net, cov, kind, pos): a node between reference neighbours, or
     up to `search` hops from the nearest; a link that jumps over reference bases. Of a node visited twice by the
     reference the last visit counts. Reduced loci take tagged counts."""
-    axis = reference_axis(g, ref, keep="last").persist()
+    axis = materialize(reference_axis(g, ref, keep="last"), "event-axis")
     node_cov, edge_cov = event_coverage(g.steps, ref)
     reduced = g.stats.select("locus_id", F.lit(True).alias("reduced")) if g.stats is not None else g.walks.limit(0).select("locus_id", F.lit(True).alias("reduced"))
     adj = g.links.select("locus_id", "link_pos", F.explode(F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))).alias("e")).groupBy("locus_id", "e.a", "e.b").agg(F.min("link_pos").alias("pos"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from walkloom.functions.sequence import cell_signature, oriented
 from walkloom.model import Graph, pick_alignment_reference
 from walkloom.operators.walks import WALK, along, collapse_runs, displayed_ids, real_walks, walk_name
+from walkloom.sharedfs import materialize
 
 
 @dataclass(frozen=True)
@@ -72,12 +73,13 @@ def clamp_window(backbone: DataFrame, center: DataFrame, window_bp: int, max_col
 
 def build_alignment(g: Graph, selected: DataFrame, reference_sample: str, window_bp: int, max_columns: int = 6000, max_rows: int = 300, max_alts: int = 24) -> Alignment:
     """selected(locus_id, id): the node each locus is looked at around."""
-    shown = displayed_ids(g.segments).persist()
+    g = Graph(*[materialize(t, "msa-in") for t in (g.segments, g.links, g.walks, g.steps)])
+    shown = materialize(displayed_ids(g.segments), "msa-shown")
     ref = pick_alignment_reference(g, reference_sample)
     chosen = selected.join(shown, ["locus_id", "id"], "left").select("locus_id", F.coalesce("shown", "id").alias("selected"))
     chosen = chosen.join(g.segments.select("locus_id", F.col("id").alias("selected")), ["locus_id", "selected"], "left_semi")
-    backbone = backbone_nodes(g, ref, shown).persist()
-    steps = collapse_runs(g.steps, shown).persist()
+    backbone = materialize(backbone_nodes(g, ref, shown), "msa-backbone")
+    steps = materialize(collapse_runs(g.steps, shown), "msa-steps")
     # Haplotypes: neither synthetic nor the reference; the first walk of each name that matters.
     named = real_walks(g.walks).join(ref, WALK, "left_anti").select(*WALK, "sample", walk_name().alias("key"))
 
@@ -86,14 +88,14 @@ def build_alignment(g: Graph, selected: DataFrame, reference_sample: str, window
 
     through = steps.join(chosen, "locus_id").filter(F.col("id") == F.col("selected")).select(*WALK).distinct()
     carriers = first_of_name(named.join(through, WALK, "left_semi"))
-    window = clamp_window(backbone, window_center(steps, backbone, chosen, carriers), window_bp, max_columns).persist()
+    window = materialize(clamp_window(backbone, window_center(steps, backbone, chosen, carriers), window_bp, max_columns), "msa-window")
     w = window.select("locus_id", "selected", "first_idx", "last_idx", "on_backbone")
     on = backbone.select("locus_id", "id", "idx", F.col("rev").alias("b_rev"), "ref_start")
     lengths = g.segments.select("locus_id", "id", "seq", "length")
     at = steps.join(w, "locus_id").join(on, ["locus_id", "id"], "left")
     in_window = F.coalesce(F.col("idx").between(F.col("first_idx"), F.col("last_idx")), F.lit(False))
     hits = at.withColumn("in_window", in_window).groupBy(*WALK).agg(F.max("in_window").alias("enters"), F.max(F.col("id") == F.col("selected")).alias("through")).filter("enters or through")
-    walks = first_of_name(named.join(hits.select(*WALK, "through"), WALK)).persist()
+    walks = materialize(first_of_name(named.join(hits.select(*WALK, "through"), WALK)), "msa-walks")
 
     # Other nodes belong to the gap after the last window node their walk was at; a walk ends when, having been in the
     # window, it meets the backbone beyond it.
@@ -111,10 +113,10 @@ def build_alignment(g: Graph, selected: DataFrame, reference_sample: str, window
     order = Window.partitionBy("locus_id").orderBy("gap", "n")
     is_ref = F.col("n") == -1
     kind = F.row_number().over(Window.partitionBy("locus_id", is_ref).orderBy("gap", "n"))
-    blocks = blocks.select(
+    blocks = materialize(blocks.select(
         "locus_id", (F.row_number().over(order) - 1).alias("block"), F.col("id").alias("seg_id"), F.concat(F.when(is_ref, "R").otherwise("A"), kind.cast("string")).alias("name"), "bp_len",
         (F.sum("bp_len").over(order) - F.col("bp_len")).alias("col_start"), is_ref.alias("is_backbone"), "ref_start", "b_rev",
-    ).join(w.select("locus_id", "selected"), "locus_id").withColumn("is_selected", F.col("seg_id") == F.col("selected")).drop("selected").persist()
+    ).join(w.select("locus_id", "selected"), "locus_id").withColumn("is_selected", F.col("seg_id") == F.col("selected")).drop("selected"), "msa-blocks")
 
     # Cells: a walk's first visit of a block counts; null is a gap, '' a node without bases.
     size = blocks.groupBy("locus_id").agg(F.count("*").cast("int").alias("n_blocks"))

@@ -41,7 +41,8 @@ def named_reference(g: Graph) -> DataFrame:
 
 def reduce_graph(g: Graph, max_variant: int = 50) -> Reduced:
     steps = materialize(g.steps, "reduce-steps")
-    segments, links, walks = g.segments.select("locus_id", "id", "seg_pos", "seq", "length").persist(), g.links.drop("wc").persist(), g.walks.persist()
+    segments, links, walks = (materialize(t, "reduce-in") for t in (g.segments.select("locus_id", "id", "seg_pos", "seq", "length"), g.links.drop("wc"), g.walks))
+    g = g.with_(walks=walks)
     ref = materialize(named_reference(g), "reduce-ref")
     ref_steps = steps.join(ref, WALK, "left_semi")
     ref_steps = ref_steps.select("locus_id", F.col("step_pos").alias("idx"), "id", "rev")

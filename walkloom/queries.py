@@ -14,6 +14,7 @@ from walkloom.operators import assembly, axis, backbone, bubbles, coverage, even
 from walkloom.operators.iterate import components
 from walkloom.plans import reduce as red
 from walkloom.plans import report
+from walkloom.sharedfs import materialize
 from walkloom.sources import gfa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,7 +246,7 @@ def component_sizes(spark, d):
 
 @query(f"""select locus_id, cast(70 as bigint) as entry_bp, cast(70 + ref_len as bigint) as exit_bp, ref_len as ref_span, alt_len as shortest, alt_len as longest, cast(1 as bigint) as node_count, cast(1 as bigint) as coverage, false as is_skip from {TP} t""")
 def bubble_catalogue(spark, d):
-    g = gfa.parse(lens.template_lines(spark, d))
+    g = gfa.parse(lens.template_lines(spark, d)).stored()
     ref = g.walks.filter("sample = 'ref'").select("locus_id", "walk_pos")
     return bubbles.bubble_catalogue(g, ref).select("locus_id", "entry_bp", "exit_bp", "ref_span", "shortest", "longest", F.col("node_count").cast("long").alias("node_count"), "coverage", "is_skip")
 
@@ -472,7 +473,7 @@ def gfa_parse(spark, d):
 @query(f"""select locus_id, cast(case when small then 1 else 4 end as bigint) as nodes, cast(6 as bigint) as nodes_before, w + 2 as walks, cast(140 + ref_len + case when small then 0 else alt_len end as bigint) as total_sequence_bp, cast(140 + ref_len as bigint) as reference_path_bp, true as simplified from {_CASE} c""")
 def complexity_report(spark, d):
     text = red.reduced_lines(_reduced(spark, d))
-    return report.graph_complexity(gfa.parse(text), "ref").select("locus_id", "nodes", "nodes_before", "walks", "total_sequence_bp", "reference_path_bp", "simplified")
+    return report.graph_complexity(gfa.parse(materialize(text, "reduced-text")), "ref").select("locus_id", "nodes", "nodes_before", "walks", "total_sequence_bp", "reference_path_bp", "simplified")
 
 
 @query("select cast(s_suppkey as string) as id, s_suppkey % 60 as v, case when s_suppkey * 137 > 250000 or s_suppkey * 31 > 25000 then 'risky' when s_suppkey * 31 <= 6000 and s_suppkey * 137 <= 20000 then 'auto' else 'manual' end as tier from supplier")
