@@ -18,8 +18,8 @@
 A pair at similarity s shares no band with probability (1 - s^rows)^bands: 5e-8 at 0.8 with 32 bands of 4.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing, not even each other; rows that
-repeat an id share that id's component; rows with a null id take part as the smallest ids of their class would, but
-are named by the smallest known id (null if none); an empty table gives an empty result; other columns are ignored.
+repeat an id share that id's component; a row without an id is in the component of its set of shingles if a row with
+an id has the same set, else its component is null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
