@@ -38,12 +38,15 @@ def default_tokenizer() -> str:
 class PieceTokenizer:
     """`cache` pieces at most are kept, with their ids in one flat array."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)  # a byte-level token has one character a byte
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)
         self.most = cache
         self._clear()
 
@@ -52,20 +55,45 @@ class PieceTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece). Pieces that begin with a space and a visible character stand in one string as they
+        are, those that begin with a sign after " a"; both are places where texts may be cut. The ids' lengths in
+        bytes tell where a piece ends; were one not to end there, each piece would be encoded by itself."""
+        parts, lone = [], []
+        for i, p in enumerate(pieces):
+            if p[0] == " " and len(p) > 1 and ("!" <= p[1] <= "~" or "\xc0" <= p[1] <= "\xff"):
+                parts.append(("", p))
+            elif "!" <= p[0] <= "~" and not p[0].isalpha():
+                parts.append((" a", p))
+            else:
+                parts.append(("", ""))
+                lone.append(i)
+        ids = np.array(self.tokenizer.encode("".join([x for part in parts for x in part]), add_special_tokens=False).ids, np.int64)
+        stop = np.cumsum(np.array([len(x.encode()) for part in parts for x in part], np.int64))
+        ends = np.append(0, np.cumsum(self.bytes_of[ids]))
+        at = np.append(0, np.searchsorted(ends, stop))
+        if len(ids) and (at[-1] != len(ids) or (ends[at[1:]] != stop).any()):
+            lone, at, ids = list(range(len(pieces))), np.zeros(2 * len(pieces) + 1, np.int64), ids[:0]
+        first, n = at[1::2], at[2::2] - at[1::2]
+        alone = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in lone], add_special_tokens=False)]
+        first[lone] = len(ids) + np.cumsum([0, *map(len, alone)], dtype=np.int64)[:-1]
+        n[lone] = [len(a) for a in alone]
+        ids = np.append(ids, np.fromiter(chain.from_iterable(alone), np.int64))
+        return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 8192):
             part = pieces[at : at + 8192]
-            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            first, n = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, n = self._encoded(part)
+            first = len(self.slot)
             while first + len(part) > len(self.start):
                 self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            total = int(n.sum())
-            while self.used + total > len(self.flat):
+            while self.used + len(ids) > len(self.flat):
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
             self.start[first : first + len(part)] = self.used + np.cumsum(n) - n
             self.size[first : first + len(part)] = n
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.used += total
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
             self.slot.update(zip(part, range(first, first + len(part)), strict=True))
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
