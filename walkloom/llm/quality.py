@@ -170,8 +170,8 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         raw = ranker._expand(x) @ ranker.w
         weight = np.where(good, n.get(1, 0) / max(1, good.sum()), n.get(0, 0) / max(1, (~good).sum()))
         order = np.argsort(raw)
-        at = np.searchsorted(np.cumsum(weight[order]), weight[~good].sum())
-        low, high = raw[order[max(0, at - 1)]], raw[order[min(at, len(raw) - 1)]]
+        at = np.searchsorted(np.cumsum(weight[order]), weight[~good].sum() * (1 - 1e-9)) + 1  # so many are rejected
+        low, high = raw[order[at - 1]], raw[order[min(at, len(raw) - 1)]]
         ranker.threshold = float((low + high) / 2)
     return ranker
 
