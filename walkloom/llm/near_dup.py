@@ -9,7 +9,8 @@
    others, members x and y of different components are compared only if they can still be linked, given what they
    share with the pivot c: of |x n y| at most min(|x n c|, |y n c|) lies inside c. Either that alone suffices, which
    bounds |y| from above, or x and y share enough outside c, and then meet in the rarest-first prefixes of x - c and
-   y - c (prefix filter). Every other pair is provably below the threshold, so all candidate pairs are settled.
+   y - c (prefix filter). Every other pair is provably below the threshold. Members of fewer open buckets than a
+   linked pair shares, but for a probability of `band_miss` (3 of 32 bands at 2e-5), are left out of that last step.
 3. A pair's signatures are compared `batch` values at a time; it is dropped once the posterior probability (uniform
    prior, binomial matches) that its similarity reaches the threshold is below `miss`.
 4. Survivors are confirmed on full shingle sets: 100 * |A n B| >= 100 * threshold * |A u B| in integers.
@@ -48,6 +49,16 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
+def least_shared(bands: int, rows: int, threshold: float, miss: float) -> int:
+    """The most bands that a pair at the threshold shares all but surely: it shares fewer with probability <= miss."""
+    p, total = threshold**rows, 0.0
+    for n in range(bands + 1):
+        total += math.comb(bands, n) * p**n * (1 - p) ** (bands - n)
+        if total > miss:
+            return max(1, n)
+    return 1
+
+
 def _sketch(k: int, perms: int, rows: int, with_sets: bool = False):
     """Arrow batches (id, text) -> (id, n, digest, sig, bands)."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -155,7 +166,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, batch: int = 16, miss: float = 1e-6, small: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, perms: int = 128, rows: int = 4, batch: int = 16, miss: float = 1e-6, small: int = 5, band_miss: float = 2e-5) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept, class_id)."""
     run, kinds = _sketch(k, perms, rows)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -200,9 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = component_labels(links)
     at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = materialize(at.join(centre.join(open_, "bucket", "left_semi"), "bucket").select("pivot", "cid", "root").distinct(), "near-open")
+    at = materialize(at.join(centre.join(open_, "bucket", "left_semi"), "bucket"), "near-at")
+    # A pair not settled yet shares open buckets only (in any other it was compared, or is one component).
+    busy = at.groupBy("cid").agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared(perms // rows, rows, percent / 100, band_miss)).select("cid")
+    lead = at.filter("cid = pivot").select("pivot", F.col("root").alias("p_root")).distinct()
+    open_ = materialize(at.join(busy, "cid", "left_semi").select("pivot", "cid", "root").distinct().join(lead, "pivot"), "near-open")
     if open_.limit(1).count():
-        sets = sets_of(open_.select("cid").distinct())
+        sets = sets_of(open_.select("cid").union(open_.select("pivot")).distinct())
         beside = with_sets(open_, sets, "pivot", "cid").select("pivot", "cid", "root", "set_b", "set_a")
         beside = materialize(beside.mapInArrow(_beside(percent), "pivot long, cid long, root long, n long, reach long, prefix long, outside array<long>"), "near-beside")
         # Through the pivot alone: sizes meet in steps of two per cent.
@@ -211,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reach = beside.filter(F.col("reach") >= small_side).select("pivot", "cid", "root", "n", "reach", F.explode(F.sequence(step(small_side), step(F.col("reach")))).alias("step"))
         other = beside.select("pivot", F.col("cid").alias("o_cid"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("reach").alias("o_reach"), step(F.col("n")).alias("step"))
         # Members linked with the pivot are one component; the side without that link is spread over the steps.
-        near = reach.join(open_.filter("cid = pivot").select("pivot", F.col("root").alias("p_root")), "pivot").filter("root <> p_root")
+        near = reach.join(lead, "pivot").filter("root <> p_root")
         near = near.join(other, ["pivot", "step"]).filter("root <> o_root and o_n <= reach and n <= o_reach").select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
         # Outside the pivot: shared shingles among the rarest of each.
         each = beside.filter("prefix > 0").select("pivot", "cid", "root", "prefix", F.explode("outside").alias("shingle"))
