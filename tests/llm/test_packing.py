@@ -66,3 +66,27 @@ def test_odd_tables(spark):
     assert pack(empty).count() == 0
     odd = pack(spark.createDataFrame([(None, None), (1, "a b"), (1, "a b")], "doc_id long, text string"))
     assert odd.agg(F.sum("length")).first()[0] == 1 + 2 * (len(ids("a b")) + 1)
+
+
+def test_neighbours_are_sought_in_the_whole_table(spark):
+    """Against brute force: a window's first neighbour is the best of all tails that no earlier window has."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}x{k * k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words[5 * (k % 50) : 5 * (k % 50) + 50], 60))) for k in range(300)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard_tokens=20_000).orderBy("sequence_id", "offset").toPandas()
+    tails = [np.array([*ids(t), 1]) for _, t in rows]
+    assert out.length.sum() == sum(map(len, tails)) > 60_000
+    tf = np.zeros((300, 50257))
+    for k, t in enumerate(tails):
+        np.add.at(tf[k], t, 1)
+    df, size = (tf > 0).sum(0), tf.sum(1, keepdims=True)
+    weight = np.log1p(np.maximum(0, 300 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / size.mean()))
+    score = (tf > 0).astype(float) @ weight.T
+    free, best = np.ones(300, bool), []
+    for _, w in out[(out.sequence_id >= 1 << 32) & (out.sequence_id < 1 << 62)].groupby("sequence_id"):
+        if len(w) > 1:
+            seed, first = w.doc_id.iloc[:2]
+            free[seed] = False
+            best.append(score[seed, first] > score[seed][free].max() - 1e-3)
+        free[w.doc_id] = False
+    assert len(best) > 10 and np.mean(best) >= 0.9
