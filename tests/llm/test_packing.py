@@ -55,6 +55,15 @@ def test_neighbours_share_words():
     assert sorted((t, p) for s in seqs for t, a, b in s for p in range(a, b)) == [(t, p) for t in range(100) for p in range(200)]
 
 
+def test_all_terms_and_all_scoring_tails_count():
+    seed, other = np.arange(40), np.arange(40, 80)
+    idf = np.append(np.full(30, 2.0), np.full(50, 1.0))
+    light = [np.array([30 + k % 10]) for k in range(50)]
+    tails = [seed, *[other[:1]] * 60, *light]
+    first = fill_windows(tails, idf, 2.0, window=90)[0]
+    assert {t for t, _, _ in first} == {0, *range(61, 111)}
+
+
 def test_powers():
     cut = in_powers([(0, 5, 12), (1, 0, 6)])
     assert [sum(b - a for _, a, b in s) for s in cut] == [8, 4, 1]

@@ -245,7 +245,7 @@ class Windows:
 class ShardIndex:
     """BM25 postings of some tails; weights from corpus-wide document frequencies."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, terms: int, k1: float = _K1, b: float = _B):
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = _K1, b: float = _B):
         size = np.array([len(t) for t in tails])
         key = np.sort((np.repeat(np.arange(len(tails), dtype=np.int64), size) << 17) | np.concatenate(tails).astype(np.int64))
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -253,20 +253,15 @@ class ShardIndex:
         key = key[cut]
         doc, term = key >> 17, key & 0x1FFFF
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
-        self.of = np.searchsorted(doc, np.arange(len(tails) + 1))
-        self.term, self.own = term, weight
+        self.of, self.term, self.n = np.searchsorted(doc, np.arange(len(tails) + 1)), term, len(tails)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.terms, self.n = terms, len(tails)
 
     def neighbours(self, seed: int, free: np.ndarray, most: int) -> list[int]:
-        """Free tails that share any of the seed's heaviest terms, best first; ties by place."""
-        lo, hi = self.of[seed], self.of[seed + 1]
-        t = self.term[lo:hi]
-        if len(t) > self.terms:
-            t = t[np.argpartition(-self.own[lo:hi], self.terms)[: self.terms]]
-        runs = [slice(self.first[x], self.first[x + 1]) for x in np.sort(t)]
+        """Free tails that share any of the seed's terms, best first; ties by place."""
+        t = self.term[self.of[seed] : self.of[seed + 1]]
+        runs = [slice(self.first[x], self.first[x + 1]) for x in t]
         score = np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
         score[~free] = 0
         best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
@@ -274,9 +269,9 @@ class ShardIndex:
         return best[np.lexsort((best, -score[best]))].tolist()
 
 
-def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = 2048, terms: int = 24, most: int = 32) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (tail, from, to)."""
-    index = ShardIndex(tails, idf, mean, terms)
+def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = 2048, most: int = 32) -> list[list[tuple[int, int, int]]]:
+    """Sequences as lists of (tail, from, to); most: neighbours fetched at once."""
+    index = ShardIndex(tails, idf, mean)
     free = np.ones(len(tails), bool)
     out: list[list[tuple[int, int, int]]] = []
     rest: tuple[int, int] | None = None
@@ -293,8 +288,11 @@ def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean: float, window:
         free[seed] = False
         seq, room = [(seed, start, len(tails[seed]))], window - (len(tails[seed]) - start)
         rest = None
-        queue = index.neighbours(seed, free, most) if room else []
+        queue, more = [], True
         while room:
+            if not queue and more:
+                queue = index.neighbours(seed, free, most)
+                more = len(queue) == most
             t = queue.pop(0) if queue else unused()
             if t is None:
                 break
