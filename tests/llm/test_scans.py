@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from walkloom.llm.licences import KNOWN, canonical, known_licences, scan_licences
-from walkloom.llm.secrets import FEATURES, compiled, features, fit_forest, labelled_findings, scan_secrets
+from walkloom.llm.secrets import FEATURES, candidates, compiled, features, fit_forest, labelled_findings, scan_secrets
 
 MIT = next(t for n, k, t in KNOWN if n == "MIT" and k == "text")
 
@@ -47,6 +47,20 @@ def test_secrets(spark):
     assert fit_forest(labelled_findings(spark, 100).filter("label = 1")) is None and all(r.secret for r in scan_secrets(docs, None).collect())
 
 
+def test_words_beside_a_candidate_come_from_the_whole_text(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"é DATABASE_PASSWORD_PROD={key}\n", f'x\n{key}"{key}:{key[:16]}={key[:16]},{key} end 🙂 {key}', f"{key}", f" {key} "]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = candidates(docs).collect()
+    assert len(got) == 10
+    for r in got:
+        t, end = texts[r.id], r.start + len(r.candidate)
+        assert (t[r.start : end], t[max(0, r.start - 40) : r.start], t[end : end + 16]) == (r.candidate, r.before, r.after)
+    x = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    flags = candidates(docs).filter("id < 2").orderBy("id").select(x["assigned"].alias("a"), x["key_word"].alias("k")).collect()
+    assert [r.a for r in flags] == [1, 1] and flags[0].k == 1
+
+
 def test_forest_expression_equals_model(spark):
     from pyspark.ml.feature import VectorAssembler
 

@@ -13,6 +13,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,13 +59,25 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least: int = 16) -> DataFrame:
-    """(id, path, start, candidate, before, after): start counts the code points before the candidate."""
+    """(id, path, start, candidate, before, after): start counts the code points before the candidate;
+    before and after are the 40 and 16 code points of the text beside it."""
     pattern = CANDIDATE.replace("16", str(least))
     text = F.col(text_col)
     rows = docs.filter(text.rlike(pattern)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
-    # A candidate's neighbours are what stands between it and the ones beside it.
-    zipped = F.arrays_zip(F.col("found").alias("candidate"), F.slice("between", 1, F.size("found")).alias("pre"), F.slice("between", 2, F.size("found")).alias("post"))
-    items = F.transform(zipped, lambda z: F.struct(z["candidate"].alias("candidate"), F.right(z["pre"], F.lit(40)).alias("before"), F.left(z["post"], F.lit(16)).alias("after"), F.length(z["pre"]).alias("gap"), F.length(z["candidate"]).alias("size")))
+    zipped = F.arrays_zip(F.col("found").alias("candidate"), F.slice("between", 1, F.size("found")).alias("pre"))
+    pieces = F.concat(F.flatten(F.transform(zipped, lambda z: F.array(z["pre"], z["candidate"]))), F.slice("between", -1, 1))
+    rows = rows.select("row", "id", "path", "found", "between", pieces.alias("pieces"))
+    # The 40 code points before a candidate and the 16 after it, earlier and later candidates included: each of these
+    # has at least `least`, so a few pieces of the text are enough.
+    n_before, n_after = 2 * math.ceil(40 / least), 2 * math.ceil(16 / least)
+
+    def item(z: Column, i: Column) -> Column:
+        first = F.greatest(2 * i + 1 - n_before, F.lit(1))
+        before = F.array_join(F.slice("pieces", first, 2 * i + 2 - first), "")
+        after = F.array_join(F.slice("pieces", 2 * i + 3, F.lit(n_after + 1)), "")
+        return F.struct(z["candidate"].alias("candidate"), F.right(before, F.lit(40)).alias("before"), F.left(after, F.lit(16)).alias("after"), F.length(z["pre"]).alias("gap"), F.length(z["candidate"]).alias("size"))
+
+    items = F.transform(zipped, item)
     out = rows.select("row", "id", "path", F.posexplode(items).alias("place", "c")).select("row", "id", "path", "place", "c.*")
     so_far = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("start", (F.sum(F.col("gap") + F.col("size")).over(so_far) - F.col("size")).cast("long"))
