@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from walkloom.llm.packing import fill_windows, in_powers, pack
+from walkloom.llm.packing import fill_windows, in_powers, neighbour_recall, pack
 from walkloom.llm.tokens import PieceTokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,29 @@ def test_all_terms_and_all_scoring_tails_count():
     assert {t for t, _, _ in first} == {0, *range(61, 111)}
 
 
+def test_shards_by_content_find_copies():
+    """Small shards of many topics, with near copies: copies meet, and neighbours score nearly as the best of all."""
+    rng = np.random.default_rng(5)
+    tails = []
+    for k in range(400):
+        base = rng.integers(300 * (k % 40), 300 * (k % 40) + 600, 150)
+        for _ in range(1 + 2 * (k % 3 == 0)):
+            t = base.copy()
+            t[rng.integers(0, 150, 6)] = rng.integers(0, 12_000, 6)
+            tails.append(t.astype(np.uint16))
+    order = rng.permutation(len(tails))
+    got = neighbour_recall([tails[i] for i in order], 15_000, list(range(0, len(tails), 5)))
+    print(got)
+    assert got["copies"] >= 0.9 and got["recall"] >= 0.3 and got["score_ratio"] >= 0.5
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, whole = PieceTokenizer(path), Tokenizer.from_file(path)
+    got = [x.tolist() for _, flat, n in tok.encode(pa.array(TEXTS)) for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert not tok.cuts and got == [whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+
+
 def test_powers():
     cut = in_powers([(0, 5, 12), (1, 0, 6)])
     assert [sum(b - a for _, a, b in s) for s in cut] == [8, 4, 1]
@@ -77,12 +100,12 @@ def test_odd_tables(spark):
     assert odd.agg(F.sum("length")).first()[0] == 1 + 2 * (len(ids("a b")) + 1)
 
 
-def test_neighbours_are_sought_in_the_whole_table(spark):
+def test_neighbours_of_one_shard_are_the_best(spark):
     """Against brute force: a window's first neighbour is the best of all tails that no earlier window has."""
     rng = np.random.default_rng(3)
     words = [f"w{k}x{k * k}" for k in range(300)]
     rows = [(k, " ".join(rng.choice(words[5 * (k % 50) : 5 * (k % 50) + 50], 60))) for k in range(300)]
-    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shard_tokens=20_000).orderBy("sequence_id", "offset").toPandas()
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).orderBy("sequence_id", "offset").toPandas()
     tails = [np.array([*ids(t), 1]) for _, t in rows]
     assert out.length.sum() == sum(map(len, tails)) > 60_000
     tf = np.zeros((300, 50257))
@@ -92,7 +115,7 @@ def test_neighbours_are_sought_in_the_whole_table(spark):
     weight = np.log1p(np.maximum(0, 300 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / size.mean()))
     score = (tf > 0).astype(float) @ weight.T
     free, best = np.ones(300, bool), []
-    for _, w in out[(out.sequence_id >= 1 << 32) & (out.sequence_id < 1 << 62)].groupby("sequence_id"):
+    for _, w in out[(out.sequence_id >= 1 << 36) & (out.sequence_id < 1 << 62)].groupby("sequence_id"):
         if len(w) > 1:
             seed, first = w.doc_id.iloc[:2]
             free[seed] = False

@@ -1,21 +1,25 @@
 """Packing by lexical retrieval.
 
 1. Every text is tokenised once and closed by `end_id`. Whole windows of a long document are sequences of their
-   own; its last, shorter part (its tail) is packed with others. The same pass counts, over all documents and whole
-   texts, in how many documents each token id occurs: a table no larger than the vocabulary.
-2. Every seed is scored by BM25 against all unused tails of the whole table, weighted with the corpus-wide counts. A
-   round takes a block of seeds to every task's tails, each task keeps the best of its own, and these are merged. The
-   driver then fills the windows in order of the seeds: best unused neighbour first, the last cut to fit. What is left
-   of it is unused, and a seed of the next round; a seed that an earlier window took is none. So each window gets the neighbours it
-   would get if seeds asked one after another (a part of a cut tail is scored as the whole tail). A window whose neighbours ran out asks again in the next round; next
-   unused tails follow only where no unused tail scores. The driver holds a length and a mark of each tail.
-3. When at most 1.5 x `shard_tokens` are left (small tables: at once), one task goes on seed by seed over an inverted
-   index of all of them. The last sequence is cut into powers of two, which need no padding.
-
-The work grows with seeds x tails, that is with the square of the table.
+   own; its last, shorter part (its tail) is packed with others. Each tail is one document of the index.
+2. In how many tails each token id occurs is counted over all of them, a table no larger than the vocabulary: these
+   counts weigh BM25 in every shard alike.
+3. Tails are dealt to shards of the inverted index by content. A tail's key is a row of weighted min-hashes of its
+   terms (in each, the term that wins a race run at the speed of its idf): two tails agree in each with the
+   probability of their weighted Jaccard similarity, so copies and texts that share rare terms stand together. The
+   tails are range-partitioned in order of their keys, and every `shard_tokens` tokens in that order are a shard:
+   however many tails share a key, or are copies, a shard is bounded, and stays a run of the most alike.
+4. In a shard, seeds go in order; each gets its BM25 neighbours among the unused tails by all of its terms, fetched
+   until none scores, and they fill its window, the last cut to fit. What is left of a cut tail is the next seed; what
+   has not filled a window at the end of a shard goes on in the next of that task. A task's last sequence is cut into
+   powers of two, which need no padding.
+
+The work grows with the tails: a seed is compared with a shard, not with the table. What this loses of an exhaustive
+search is measured by `neighbour_recall` and stated in the README.
 
 Defined cases: null and empty texts are the one id `end_id`; repeated rows and null ids are packed like any others;
-an empty table gives an empty result; other columns are ignored.
+ids must be numbers or read as such; a text of any length is tokenised whole, a task holds one batch of texts and one
+shard; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 from walkloom.llm.tokens import PieceTokenizer, default_tokenizer, shared_tokenizer
 from walkloom.sharedfs import materialize
 
-_PARTS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary()), ("tail", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary())])
+_PARTS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _PIECE_KINDS = [pa.int64()] * 7 + [pa.binary()]
 _PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-_PLACE = 36  # a tail's number is its task's, shifted, and its place there
 _K1, _B = 1.2, 0.75
+_KEYS = 4  # min-hashes in a tail's key
 
 
 def checksum(ids: np.ndarray) -> int:
@@ -51,195 +55,59 @@ def _tokenise(path: str, end_id: int, window: int, with_ids: bool):
         kind_of = np.uint16 if tok.vocabulary <= 1 << 16 else np.uint32
         seen = np.zeros(max(tok.vocabulary, end_id + 1), np.int64)
         sequence = (1 << 62) + (TaskContext.get().partitionId() << 36)
-        tail = TaskContext.get().partitionId() << _PLACE
         for batch in batches:
             doc = batch.column(0)
             for at, ids, n in tok.encode(batch.column(1)):
-                rows = np.repeat(np.arange(len(n), dtype=np.int64), n)
-                key = np.sort((rows << 17) | ids)
-                key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-                seen += np.bincount(key & 0x1FFFF, minlength=len(seen))
-                seen[end_id] += len(n)
                 out: list[tuple] = []
                 stop = np.cumsum(n)
                 for r in range(len(n)):
                     x = np.append(ids[stop[r] - n[r] : stop[r]], np.uint32(end_id))
                     d, whole = doc[at + r].as_py(), len(x) // window * window
                     for s in range(0, whole, window):
-                        out.append(("whole", d, s, window, checksum(x[s : s + window]), len(x), sequence, x[s : s + window].astype(kind_of).tobytes() if with_ids else None, None, None, None))
+                        out.append(("whole", d, s, window, checksum(x[s : s + window]), len(x), sequence, x[s : s + window].astype(kind_of).tobytes() if with_ids else None))
                         sequence += 1
                     if whole < len(x):
-                        terms, counts = np.unique(x[whole:], return_counts=True)
-                        out.append(("tail", d, whole, len(x) - whole, checksum(x[whole:]), len(x), None, x[whole:].astype(kind_of).tobytes(), tail, terms.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
-                        tail += 1
+                        seen[np.unique(x[whole:])] += 1
+                        out.append(("tail", d, whole, len(x) - whole, checksum(x[whole:]), len(x), None, x[whole:].astype(kind_of).tobytes()))
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PARTS, strict=True)], schema=_PARTS)
         terms = np.flatnonzero(seen)
         if len(terms):
             none = pa.nulls(len(terms))
-            yield pa.record_batch([pa.array(["seen"] * len(terms)), none.cast(pa.int64()), pa.array(terms, pa.int64()), pa.array(seen[terms], pa.int64()), *[none.cast(pa.int64())] * 3, none.cast(pa.binary()), none.cast(pa.int64()), *[none.cast(pa.binary())] * 2], schema=_PARTS)
+            yield pa.record_batch([pa.array(["seen"] * len(terms)), none.cast(pa.int64()), pa.array(terms, pa.int64()), pa.array(seen[terms], pa.int64()), *[none.cast(pa.int64())] * 3, none.cast(pa.binary())], schema=_PARTS)
 
     return run
 
 
-def _numbers(tail: pa.Array, base: np.ndarray) -> np.ndarray:
-    t = tail.to_numpy(zero_copy_only=False)
-    return base[t >> _PLACE] + (t & ((1 << _PLACE) - 1))
+def races(idf: np.ndarray, seed: int = 17) -> np.ndarray:
+    """One row of finishing times a min-hash: exponential, at the speed of each term's idf."""
+    return np.random.default_rng(seed).exponential(size=(_KEYS, len(idf))) / np.maximum(idf, 1e-9)
 
 
-def _terms_of(state):
-    """(number, terms) of the wanted tails."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, wanted = state.value
-        for batch in batches:
-            number = _numbers(batch.column(0), base)
-            keep = np.flatnonzero(wanted[number])
-            yield pa.record_batch([pa.array(number[keep]), batch.column(1).take(pa.array(keep))], names=["number", "terms"])
-
-    return run
+def content_keys(tails: list[np.ndarray], times: np.ndarray) -> list[np.ndarray]:
+    """The winning term of each race, for each tail; none may be empty."""
+    flat = np.concatenate(tails)
+    first = np.cumsum([0, *map(len, tails[:-1])])
+    out = []
+    for t in times:
+        order = np.empty(len(t), np.int64)
+        place = np.argsort(t, kind="stable")
+        order[place] = np.arange(len(t))
+        out.append(place[np.minimum.reduceat(order[flat], first)])
+    return out
 
 
-class Block:
-    """BM25 scores of some tails for many seeds at once: terms of many tails by a dense product, the others by postings."""
-
-    def __init__(self, number: np.ndarray, size: np.ndarray, terms: list[bytes], counts: list[bytes], idf: np.ndarray, mean: float):
-        self.number, n = number, len(number)
-        term, tf = np.frombuffer(b"".join(terms), "<u4").astype(np.int64), np.frombuffer(b"".join(counts), "<u4")
-        col = np.repeat(np.arange(n), [len(t) // 4 for t in terms])
-        weight = idf[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * size[col] / mean))
-        common = np.flatnonzero(np.bincount(term, minlength=len(idf)) > n / 32)
-        self.slot = np.full(len(idf), -1)
-        self.slot[common] = np.arange(len(common))
-        m = self.slot[term] >= 0
-        self.dense = np.zeros((len(common), n), np.float32)
-        self.dense[self.slot[term[m]], col[m]] = weight[m]
-        order = np.argsort(term[~m], kind="stable")
-        self.doc, self.weight = col[~m][order], weight[~m][order]
-        self.first = np.searchsorted(term[~m][order], np.arange(len(idf) + 1))
-
-    def best(self, seeds: np.ndarray, of: np.ndarray, term: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The highest scores of each seed and the tails that have them; a seed is no neighbour of its own."""
-        n, row = len(self.number), np.repeat(np.arange(len(seeds)), np.diff(of))
-        m = self.slot[term] >= 0
-        asked = np.zeros((len(seeds), len(self.dense)), np.float32)
-        asked[row[m], self.slot[term[m]]] = 1
-        score = asked @ self.dense
-        run = self.first[term[~m] + 1] - self.first[term[~m]]
-        at = np.repeat(self.first[term[~m]] - np.cumsum(run) + run, run) + np.arange(run.sum())
-        if len(at):
-            score += np.bincount(np.repeat(row[~m], run) * n + self.doc[at], self.weight[at], len(seeds) * n).reshape(score.shape)
-        place = np.minimum(np.searchsorted(self.number, seeds), n - 1)
-        own = np.flatnonzero(self.number[place] == seeds)
-        score[own, place[own]] = 0
-        top = np.argpartition(-score, most - 1, axis=1)[:, :most] if n > most else np.broadcast_to(np.arange(n), score.shape)
-        return np.take_along_axis(score, top, 1), self.number[top]
-
-
-def _best_of_task(state, most: int, block: int = 2048, chunk: int = 256):
-    """(seed, number, score): of the task's unused tails, those that score highest for each seed."""
+def _keyed(idf: np.ndarray, wide: str):
+    names = ["doc_id", "start", "ids_crc32", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, free, idf, mean, seeds, of, term = state.value
-        best, who = np.zeros((len(seeds), most), np.float32), np.full((len(seeds), most), -1)
-
-        def search(rows: list[tuple]) -> None:
-            rows = sorted(rows)
-            b = Block(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows], idf, mean)
-            for lo in range(0, len(seeds), chunk):
-                hi = min(lo + chunk, len(seeds))
-                s, w = b.best(seeds[lo:hi], of[lo : hi + 1] - of[lo], term[of[lo] : of[hi]], most)
-                s, w = np.hstack([best[lo:hi], s]), np.hstack([who[lo:hi], w])
-                order = np.lexsort((w, -s), axis=1)[:, :most]
-                best[lo:hi], who[lo:hi] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-
-        held: list[tuple] = []
+        times = races(idf)
         for batch in batches:
-            number = _numbers(batch.column(0), base)
-            keep = np.flatnonzero(free[number])
-            part = batch.take(pa.array(keep))
-            held += zip(number[keep].tolist(), *(c.to_pylist() for c in part.columns[1:]))
-            while len(held) >= block:
-                search(held[:block])
-                del held[:block]
-        if held:
-            search(held)
-        seed, place = np.nonzero(best > 0)
-        for lo in range(0, len(seed), 100_000):
-            i, j = seed[lo : lo + 100_000], place[lo : lo + 100_000]
-            yield pa.record_batch([pa.array(i), pa.array(who[i, j]), pa.array(best[i, j].astype(float))], names=["seed", "number", "score"])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                keys = content_keys([np.frombuffer(b, wide) for b in part.column("ids").to_pylist()], times)
+                yield pa.record_batch([part.column(c) for c in names] + [pa.array(k, pa.int64()) for k in keys], names=[*names, *[f"k{i}" for i in range(_KEYS)]])
 
-    return run
-
-
-class Windows:
-    """What the driver knows of the tails: lengths, where their unpacked parts begin, marks of the unused, and windows
-    that still need neighbours."""
-
-    def __init__(self, length: np.ndarray, window: int):
-        self.length, self.window, self.left = length, window, int(length.sum())
-        self.free, self.begin = np.ones(len(length), bool), np.zeros(len(length), np.int32)
-        self.sequence = 1 << 32
-        self.open: list[tuple[int, list[tuple[int, int, int]]]] = []
-        self.upto = 0  # all tails before it are used
-
-    def unused(self) -> int | None:
-        while self.upto < len(self.free) and not self.free[self.upto]:
-            self.upto += 1
-        return self.upto if self.upto < len(self.free) else None
-
-    def give_back(self, keep: int) -> None:
-        """Dissolve all open windows but the first `keep`."""
-        for _, seq in self.open[keep:]:
-            for t, a, _ in seq:
-                self.free[t], self.begin[t], self.upto = True, a, min(self.upto, t)
-        del self.open[keep:]
-
-    def ask(self, most: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """(seed, pieces so far) of a round's windows: open ones, then what is left of cut tails, then unused tails."""
-        if not self.free.any():
-            self.give_back(len(self.open) // 2)
-        out, self.open = self.open[:most], self.open[most:]
-        seeds = np.append(np.flatnonzero(self.free & (self.begin > 0)), np.flatnonzero(self.free & (self.begin == 0)))
-        return out + [(int(t), []) for t in seeds[: most - len(out)]]
-
-    def fill(self, asked: list[tuple[int, list[tuple[int, int, int]]]], neighbours: list[list[int]], most: int) -> list[tuple[int, int, int, int, int]]:
-        """(number, from, to, sequence, offset) of the windows that are full now."""
-        out, again = [], []
-        for (seed, seq), queue in zip(asked, neighbours, strict=True):
-            if not seq and not self.free[seed]:
-                continue
-            all_known = len(queue) < most
-            queue = [seed] * (not seq) + queue
-            room = self.window - sum(b - a for _, a, b in seq)
-            while room:
-                t = queue.pop(0) if queue else self.unused() if all_known else None
-                if t is None:
-                    break
-                if not self.free[t]:
-                    continue
-                a, b = int(self.begin[t]), int(self.length[t])
-                n = min(room, b - a)
-                seq.append((t, a, a + n))
-                room -= n
-                self.begin[t], self.free[t] = a + n, a + n < b
-                if self.free[t]:
-                    self.upto = min(self.upto, t)
-            if room:
-                again.append((seed, seq))
-                continue
-            offset = 0
-            for t, a, b in seq:
-                out.append((t, a, b, self.sequence, offset))
-                offset += b - a
-            self.sequence += 1
-            self.left -= self.window
-        self.open = again + self.open
-        return out
-
-    def rest(self) -> dict[int, int]:
-        """Where the unpacked part of each tail begins; windows that are not full are dissolved."""
-        self.give_back(0)
-        return {int(t): int(self.begin[t]) for t in np.flatnonzero(self.free)}
+    return run, "doc_id long, start long, ids_crc32 long, doc_tokens long, ids binary, " + ", ".join(f"k{i} long" for i in range(_KEYS))
 
 
 class ShardIndex:
@@ -247,22 +115,26 @@ class ShardIndex:
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = _K1, b: float = _B):
         size = np.array([len(t) for t in tails])
-        key = np.sort((np.repeat(np.arange(len(tails), dtype=np.int64), size) << 17) | np.concatenate(tails).astype(np.int64))
+        key = np.sort((np.repeat(np.arange(len(tails), dtype=np.int64), size) << 32) | np.concatenate(tails).astype(np.int64))
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(cut, len(key)))
         key = key[cut]
-        doc, term = key >> 17, key & 0x1FFFF
+        doc, term = key >> 32, key & 0xFFFFFFFF
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
         self.of, self.term, self.n = np.searchsorted(doc, np.arange(len(tails) + 1)), term, len(tails)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
-    def neighbours(self, seed: int, free: np.ndarray, most: int) -> list[int]:
-        """Free tails that share any of the seed's terms, best first; ties by place."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Of all tails, by all of the seed's terms."""
         t = self.term[self.of[seed] : self.of[seed + 1]]
         runs = [slice(self.first[x], self.first[x + 1]) for x in t]
-        score = np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
+        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
+
+    def neighbours(self, seed: int, free: np.ndarray, most: int) -> list[int]:
+        """Free tails that share any of the seed's terms, best first; ties by place."""
+        score = self.scores(seed)
         score[~free] = 0
         best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
         best = best[score[best] > 0]
@@ -270,7 +142,7 @@ class ShardIndex:
 
 
 def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean: float, window: int = 2048, most: int = 32) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (tail, from, to); most: neighbours fetched at once."""
+    """Sequences as lists of (tail, from, to), the last as long as its tails allow; most: neighbours fetched at once."""
     index = ShardIndex(tails, idf, mean)
     free = np.ones(len(tails), bool)
     out: list[list[tuple[int, int, int]]] = []
@@ -303,8 +175,6 @@ def fill_windows(tails: list[np.ndarray], idf: np.ndarray, mean: float, window:
             if n < len(tails[t]):
                 rest = (t, n)
         out.append(seq)
-    if out and room:
-        out[-1:] = in_powers(out[-1])
     return out
 
 
@@ -326,88 +196,89 @@ def in_powers(seq: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
+def neighbour_recall(tails: list[np.ndarray], shard_tokens: int, queries: list[int], most: int = 10) -> dict[str, float]:
+    """How the neighbours that a tail's shard offers compare with those of a brute-force search of all tails: the share
+    of the best `most` that are there, the ratio of the sums of their scores, and the share of the nearest copies
+    (tails that score at least nine tenths of what the tail itself scores) that are there."""
+    size = np.array([len(t) for t in tails])
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]).astype(np.int64))
+    idf = np.log1p((len(tails) - df + 0.5) / (df + 0.5))
+    order = np.lexsort(content_keys(tails, races(idf))[::-1])
+    shard = np.empty(len(tails), np.int64)
+    shard[order] = np.cumsum(size[order]) // shard_tokens
+    index, met, ratio, copies = ShardIndex(tails, idf, size.mean()), [], [], []
+    for q in queries:
+        score = index.scores(q)
+        own, score[q] = score[q], 0
+        best = np.argsort(-score, kind="stable")[:most]
+        pool = np.flatnonzero((shard == shard[q]) & (np.arange(len(tails)) != q))
+        here = pool[np.argsort(-score[pool], kind="stable")[:most]]
+        met.append(np.isin(best, here).mean())
+        ratio.append(score[here].sum() / score[best].sum())
+        if score[best[0]] >= 0.9 * own:
+            copies.append(score[here[0]] >= 0.9 * own if len(here) else False)
+    return {"recall": float(np.mean(met)), "score_ratio": float(np.mean(ratio)), "copies": float(np.mean(copies)) if copies else 1.0}
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, window: int = 2048, shard_tokens: int = 1_000_000, with_ids: bool = True) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids are
     little-endian numbers of 16 bits (32 where the vocabulary needs them), or null unless with_ids."""
     path = tokenizer or default_tokenizer()
     wide = "<u2" if PieceTokenizer(path).vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(_tokenise(path, end_id, window, with_ids), "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary, tail long, terms binary, counts binary")
+    parts = rows.mapInArrow(_tokenise(path, end_id, window, with_ids), "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary")
     parts = materialize(parts, "pack-parts", ["kind"])
     tails = parts.filter("kind = 'tail'")
     seen = parts.filter("kind = 'seen'").groupBy("start").agg(F.sum("length").alias("n")).collect()  # at most one row a token id
-    n_docs = next((r["n"] for r in seen if r["start"] == end_id), 0)
+    total = tails.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+    n_tails, mean = total["n"], max(1.0, (total["tokens"] or 0) / max(1, total["n"]))
     idf = np.zeros(max([r["start"] for r in seen], default=0) + 1)
     for r in seen:
-        idf[r["start"]] = np.log1p(max(0.0, n_docs - r["n"] + 0.5) / (r["n"] + 0.5))
-    known = tails.select("tail", F.col("length").cast("int").alias("length")).toArrow().sort_by("tail")
-    tail, length = known["tail"].to_numpy(), known["length"].to_numpy()
-    mean = max(1.0, float(length.mean()) if len(length) else 0.0)
-    base = np.searchsorted(tail, np.arange((int(tail[-1]) >> _PLACE) + 2 if len(tail) else 1) << _PLACE)
-    spark, windows = docs.sparkSession, Windows(length, window)
-    share = lambda x: spark.sparkContext.broadcast(x)
-    postings = tails.select("tail", "length", "terms", "counts").coalesce(2 * spark.sparkContext.defaultParallelism)
-    most = int(np.clip(np.ceil(2 * window / mean), 8, 256))  # neighbours a seed gets in one round
-    packed: list[DataFrame] = []
-    while windows.left > 1.5 * shard_tokens:
-        asked = windows.ask(min(20_000, max(1, windows.left // (4 * window))))
-        seeds = np.array([seed for seed, _ in asked])
-        wanted = np.zeros(len(length), bool)
-        wanted[seeds] = True
-        state = share((base, wanted))
-        got = postings.select("tail", "terms").mapInArrow(_terms_of(state), "number long, terms binary").toArrow()
-        terms = dict(zip(got["number"].to_pylist(), got["terms"].to_pylist(), strict=True))
-        state.destroy()
-        of = np.cumsum([0, *(len(terms[s]) // 4 for s in seeds.tolist())])
-        state = share((base, windows.free, idf, mean, seeds, of, np.frombuffer(b"".join(terms[s] for s in seeds.tolist()), "<u4").astype(np.int64)))
-        found = postings.mapInArrow(_best_of_task(state, most), "seed long, number long, score double")
-        found = found.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "number"))), 1, most)["number"].alias("best")).toArrow()
-        state.destroy()
-        by = dict(zip(found["seed"].to_pylist(), found["best"].to_pylist(), strict=True))
-        full = windows.fill(asked, [by.get(i, []) for i in range(len(asked))], most)
-        if full:
-            col = np.array(full).T
-            col[0] = tail[col[0]]
-            packed.append(materialize(spark.createDataFrame(pa.table(list(col), names=["tail", "lo", "hi", "sequence_id", "offset"])), "pack-round"))
-
-    rest = windows.rest()
-    state = share((base, {t: a for t, a in rest.items() if a}, np.isin(np.arange(len(length)), list(rest))))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, begin, mine = state.value
-        for batch in batches:
-            number = _numbers(batch.column("tail"), base)
-            keep = np.flatnonzero(mine[number])
-            part = batch.take(pa.array(keep))
-            yield part.set_column(0, "tail", pa.array([begin.get(t, 0) for t in number[keep].tolist()], pa.int64()))
-
-    def last(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("tail", "ascending")])
-        col = {c: group[c].to_pylist() for c in ("tail", "doc_id", "start", "doc_tokens", "ids")}
-        ids = [np.frombuffer(x, wide)[a:] for x, a in zip(col["ids"], col["tail"], strict=True)]
-        out = []
-        for s, seq in enumerate(fill_windows(ids, idf, mean, window)):
-            offset = 0
-            for t, a, b in seq:
-                x = ids[t][a:b]
-                out.append((col["doc_id"][t], col["start"][t] + col["tail"][t] + a, b - a, checksum(x), col["doc_tokens"][t], s, offset, x.tobytes() if with_ids else None))
-                offset += b - a
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        idf[r["start"]] = np.log1p(max(0.0, n_tails - r["n"] + 0.5) / (r["n"] + 0.5))
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sequence = (TaskContext.get().partitionId() + 1) << 36
+        held: list[tuple] = []  # (doc_id, where its ids begin, doc_tokens, ids) of unpacked tails
+        tokens = 0
+
+        def packed(last: bool) -> pa.RecordBatch:
+            nonlocal sequence, held, tokens
+            ids = [h[3] for h in held]
+            sequences = fill_windows(ids, idf, mean, window)
+            left: list[tuple] = []
+            if sequences and sum(b - a for _, a, b in sequences[-1]) < window:
+                if last:
+                    sequences[-1:] = in_powers(sequences[-1])
+                else:
+                    left = [(held[t][0], held[t][1] + a, held[t][2], ids[t][a:b]) for t, a, b in sequences.pop()]
             out = []
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["ids"], wide)[r["lo"] : r["hi"]]
-                out.append((r["doc_id"], r["start"] + r["lo"], len(x), checksum(x), r["doc_tokens"], r["sequence_id"], r["offset"], x.tobytes() if with_ids else None))
-            if out:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
-
-    columns = ["tail", "doc_id", "start", "ids_crc32", "doc_tokens", "ids"]
-    left = tails.select(*columns).mapInArrow(unpacked, "tail long, doc_id long, start long, ids_crc32 long, doc_tokens long, ids binary")
-    out = left.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(last, _PIECES)
-    if packed:
-        placed = spark.read.schema(packed[0].schema).parquet(*[p._walkloom_path for p in packed])
-        out = out.unionByName(placed.join(tails.select("tail", "doc_id", "start", "doc_tokens", "ids"), "tail").mapInArrow(cut, _PIECES))
+            for seq in sequences:
+                offset = 0
+                for t, a, b in seq:
+                    x = ids[t][a:b]
+                    out.append((held[t][0], held[t][1] + a, b - a, checksum(x), held[t][2], sequence, offset, x.tobytes() if with_ids else None))
+                    offset += b - a
+                sequence += 1
+            held, tokens = left, sum(len(x[3]) for x in left)
+            cols = zip(*out, strict=True) if out else [[]] * len(_PIECE_KINDS)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, _PIECE_KINDS, strict=True)], names=_PIECE_NAMES)
+
+        for batch in batches:
+            col = {c: batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")}
+            for d, s, n, b in zip(*col.values(), strict=True):
+                held.append((d, s, n, np.frombuffer(b, wide)))
+                tokens += len(held[-1][3])
+                if tokens >= shard_tokens:
+                    yield packed(False)
+        if held:
+            yield packed(True)
+
+    run, kinds = _keyed(idf, wide)
+    order = [*[f"k{i}" for i in range(_KEYS)], "ids_crc32", "doc_id", "start"]
+    keyed = tails.select("doc_id", "start", "ids_crc32", "doc_tokens", "ids").mapInArrow(run, kinds)
+    tasks = max(1, -(-(total["tokens"] or 0) // (4 * shard_tokens)))
+    dealt = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
     whole = parts.filter("kind = 'whole'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
-    return out.unionByName(whole)
+    return dealt.mapInArrow(shards, _PIECES).unionByName(whole)

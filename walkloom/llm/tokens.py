@@ -4,11 +4,12 @@ The byte-level pattern never joins what stands before a space to what follows it
 next, nor an ASCII letter to an ASCII sign or digit after it, so a text may be cut at these places and the pieces
 encoded on their own. The cuts are found on the text's bytes, equal pieces by Arrow's dictionary encoding, and only
 pieces that a worker process has not seen lately reach the library. Texts that hold a special token's string are
-encoded whole.
+encoded whole, and so is every text where the tokenizer divides by another pattern or changes texts first.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from itertools import chain
@@ -44,6 +45,10 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        #: Whether texts may be cut: the byte-level pattern itself, and nothing else, divides them.
+        self.cuts = rules["normalizer"] is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space")
         self.bytes_of = np.zeros(self.vocabulary, np.int64)  # a byte-level token has one character a byte
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes_of[i] = len(token)
@@ -55,36 +60,38 @@ class PieceTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per piece). Pieces that begin with a space and a visible character stand in one string as they
-        are, those that begin with a sign after " a"; both are places where texts may be cut. The ids' lengths in
-        bytes tell where a piece ends; were one not to end there, each piece would be encoded by itself."""
-        parts, lone = [], []
-        for i, p in enumerate(pieces):
-            if p[0] == " " and len(p) > 1 and ("!" <= p[1] <= "~" or "\xc0" <= p[1] <= "\xff"):
-                parts.append(("", p))
-            elif "!" <= p[0] <= "~" and not p[0].isalpha():
-                parts.append((" a", p))
-            else:
-                parts.append(("", ""))
-                lone.append(i)
-        ids = np.array(self.tokenizer.encode("".join([x for part in parts for x in part]), add_special_tokens=False).ids, np.int64)
-        stop = np.cumsum(np.array([len(x.encode()) for part in parts for x in part], np.int64))
+    def _encoded(self, pieces: list[str], size: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of pieces with these numbers of bytes, first and second bytes. Pieces that begin with a
+        space and a visible character stand in one string as they are, those that begin with a sign after " a"; both
+        are places where texts may be cut. The ids' lengths in bytes tell where a piece ends; were one not to end
+        there, each piece would be encoded by itself."""
+        spaced = (first == 32) & _VISIBLE[second] & (size > 1)
+        signed = _SIGN[first] & ~spaced
+        spaced, signed, lone = np.flatnonzero(spaced), np.flatnonzero(signed), np.flatnonzero(~(spaced | signed))
+        n = np.zeros(len(pieces), np.int64)
+        begin = np.zeros(len(pieces), np.int64)
+        joined = "".join([pieces[i] for i in spaced] + [" a" + pieces[i] for i in signed])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+        # Where each part ends: pieces after a space, then " a" and a piece in turn.
+        turns = np.stack([np.full(len(signed), 2), size[signed]], 1).ravel()
+        stop = np.cumsum(np.concatenate([size[spaced], turns]))
         ends = np.append(0, np.cumsum(self.bytes_of[ids]))
         at = np.append(0, np.searchsorted(ends, stop))
         if len(ids) and (at[-1] != len(ids) or (ends[at[1:]] != stop).any()):
-            lone, at, ids = list(range(len(pieces))), np.zeros(2 * len(pieces) + 1, np.int64), ids[:0]
-        first, n = at[1::2], at[2::2] - at[1::2]
-        alone = [e.ids for e in self.tokenizer.encode_batch([pieces[i] for i in lone], add_special_tokens=False)]
-        first[lone] = len(ids) + np.cumsum([0, *map(len, alone)], dtype=np.int64)[:-1]
+            lone, spaced, signed, ids, at = np.arange(len(pieces)), spaced[:0], signed[:0], ids[:0], at[:1]
+        k = len(spaced)
+        begin[spaced], n[spaced] = at[:k], np.diff(at[: k + 1])
+        begin[signed], n[signed] = at[k + 1 : -1 : 2], (at[k + 2 :: 2] - at[k + 1 : -1 : 2])
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in lone], add_special_tokens=False)]
         n[lone] = [len(a) for a in alone]
+        begin[lone] = len(ids) + np.cumsum(n[lone]) - n[lone]
         ids = np.append(ids, np.fromiter(chain.from_iterable(alone), np.int64))
-        return ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        return ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], size: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         for at in range(0, len(pieces), 8192):
             part = pieces[at : at + 8192]
-            ids, n = self._encoded(part)
+            ids, n = self._encoded(part, size[at : at + 8192], one[at : at + 8192], two[at : at + 8192])
             first = len(self.slot)
             while first + len(part) > len(self.start):
                 self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
@@ -96,14 +103,19 @@ class PieceTokenizer:
             self.used += len(ids)
             self.slot.update(zip(part, range(first, first + len(part)), strict=True))
 
-    def _slots(self, pieces: list[str]) -> np.ndarray:
+    def _slots(self, distinct: pa.Array) -> np.ndarray:
+        pieces = distinct.to_pylist()
         got = list(map(self.slot.get, pieces))
-        new = [p for p, g in zip(pieces, got, strict=True) if g is None]
+        new = [i for i, g in enumerate(got) if g is None]
         if new:
             if len(self.slot) + len(new) > self.most:
                 self._clear()
-                new = pieces
-            self._learn(new)
+                new = list(range(len(pieces)))
+            _, offsets, values = distinct.buffers()
+            off = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+            data, at = np.frombuffer(values, np.uint8), np.array(new)
+            size, one = off[at + 1] - off[at], data[off[at]]
+            self._learn([pieces[i] for i in new], size, one, data[np.minimum(off[at] + 1, len(data) - 1)])
             got = list(map(self.slot.__getitem__, pieces))
         return np.array(got, np.int64)
 
@@ -122,7 +134,7 @@ class PieceTokenizer:
         at = np.flatnonzero(first)
         pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         n = self.size[slot]
         ids = self.flat[np.repeat(self.start[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         row = np.searchsorted(off, at, "right") - 1
@@ -130,16 +142,16 @@ class PieceTokenizer:
 
     def encode(self, text: pa.Array, most_bytes: int = 3 << 20):
         """(first row, ids, ids per row) slice by slice; null is empty."""
-        plain = np.ones(len(text), bool)
+        plain = np.full(len(text), self.cuts)
         for s in self.special:
             plain &= ~pc.fill_null(pc.match_substring(text, s), False).to_numpy(zero_copy_only=False)
         for at, data, off in slices(text, most_bytes):
-            ids, n = self._cut(data, off)
+            ids, n = self._cut(data, off) if self.cuts else (np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64))
             odd = np.flatnonzero(~plain[at : at + len(n)])
             if len(odd):
                 parts = np.split(ids, np.cumsum(n)[:-1])
                 for r in odd:
-                    parts[r] = np.array(self.tokenizer.encode(text[at + int(r)].as_py(), add_special_tokens=False).ids, np.uint32)
+                    parts[r] = np.array(self.tokenizer.encode(text[at + int(r)].as_py() or "", add_special_tokens=False).ids, np.uint32)
                 ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
             yield at, ids, n
 
