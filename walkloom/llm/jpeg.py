@@ -158,7 +158,9 @@ class _Bits:
     def take(self, n: int) -> int:
         v = 0
         for _ in range(n):
-            v = v << 1 | (self.bits[self.at] if self.at < len(self.bits) else 0)
+            if self.at >= len(self.bits):
+                raise ValueError("the scan ends too early")
+            v = v << 1 | self.bits[self.at]
             self.at += 1
         return v
 
@@ -174,7 +176,10 @@ class _Bits:
 class Progressive:
     """A decoded progressive file: coefficients[c] has the shape (block rows, block columns, 64), in zigzag order."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, max_pixels: int = 1 << 25):
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("no file of this format")
+        self.max_pixels = max_pixels
         raw = np.frombuffer(data, np.uint8)
         nxt = raw[1:]
         marks = np.flatnonzero((raw[:-1] == 255) & (nxt != 0) & (nxt != 255) & ((nxt < 0xD0) | (nxt > 0xD7)))
@@ -182,6 +187,8 @@ class Progressive:
         at = 2
         while data[at + 1] != 0xD9:
             marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if data[at] != 0xFF or size < 2:
+                raise ValueError("a segment that is none")
             body, at = data[at + 4 : at + 2 + size], at + 2 + size
             if marker == 0xFE:
                 self.note = body
@@ -214,8 +221,12 @@ class Progressive:
             body = body[17 + n :]
 
     def _frame(self, body: bytes) -> None:
-        _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        depth, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        if depth != 8 or n not in (1, 3) or not 0 < self.height * self.width <= self.max_pixels:
+            raise ValueError("a frame that is not read")
         self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if any(h not in (1, 2) or v not in (1, 2) for _, h, v, _ in self.parts):
+            raise ValueError("a sampling factor that is not read")
         self.h, self.v = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
         self.units = -(-self.height // (8 * self.v)), -(-self.width // (8 * self.h))
         self.coefficients = [np.zeros((self.units[0] * v, self.units[1] * h, 64), np.int32) for _, h, v, _ in self.parts]
@@ -224,6 +235,8 @@ class Progressive:
         n = head[0]
         which = [(next(i for i, p in enumerate(self.parts) if p[0] == head[1 + 2 * j]), head[2 + 2 * j]) for j in range(n)]
         ss, se, ah, al = head[1 + 2 * n], head[2 + 2 * n], head[3 + 2 * n] >> 4, head[3 + 2 * n] & 15
+        if se > 63 or ss > se or (ss == 0) != (se == 0) or ss and n > 1 or al > 13:
+            raise ValueError("a scan that no progressive file has")
         clean = data.replace(b"\xff\0", b"\xff")
         if n == 1 and not self.restart and self._at_once(which[0][0], which[0][1], ss, se, ah, al, clean):
             return

@@ -56,9 +56,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decode_media(encode_media(table(spark, sf_dir, "documents")), tensor=False)
+    d = decode_media(encode_media(table(spark, sf_dir, "documents")))
     tail = F.crc32(F.expr("substring(payload, -64)"))
-    return d.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    return d.select(F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "height", "width", F.sha2("rgb", 256).alias("rgb_sha256"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
