@@ -39,7 +39,28 @@ def test_layouts_by_fingerprint(spark):
     assert [got[k] for k in (90, 91, 92, 93)] == [[None]] * 4 and got[None] == [("user", "p")]
     names = {r.key: r.layout for r in out.collect()}
     assert names[0] == "messages" and names[1] == "conversations" and names[2] == "prompt" and names[92] is None
-    assert fingerprint(field_paths({"a": [{"b": 1}, {"b": 2}]})) == fingerprint({"a", "a[].b"}) and len(registry()) > 15
+    assert fingerprint(field_paths({"a": [{"b": 1}, {"b": 2}]})) == fingerprint({"a list", "a[] object", "a[].b value"}) and len(registry()) > 15
+
+
+ODD = ['{"messages": null}', '{"messages": "hello"}', '{"messages": [{"role": "user", "content": "x"}, "y"]}', '{"messages": [{"role": ["a"], "content": "x"}]}', "[" * 100_000, '{"a":' * 900 + "1" + "}" * 900,
+       '{"messages": [{"role": "user"}]}', '{"messages": [[]]}', '{"prompt": {"x": 1}, "completion": "c"}', '{"messages": [{"role": {"a": 1}, "content": null}]}', '{"prompt": ["a"], "completion": "c"}', "NaN", '"text"', ""]
+
+
+def test_records_that_no_mapping_has_give_null_layouts(spark):
+    rows = [(i, 0, r) for i, r in enumerate(ODD)] + [(50, 0, '{"prompt": "\\ud800 x", "completion": true}'), (51, 0, json.dumps({"prompt": "long " * 200_000, "completion": 1.5}))]
+    out = format_records(spark.createDataFrame(rows, "conv_id long, turn long, record string")).collect()
+    assert {r.key: (r.layout, r.segment) for r in out if r.key < 50} == {i: (None, None) for i in range(len(ODD))}
+    said = {r.key: [] for r in out}
+    for r in sorted(out, key=lambda r: (r.key, r.piece)):
+        said[r.key].append(read_segment(r.segment) if r.segment else None)
+    assert said[50] == [("user", "\ufffd x"), ("assistant", "true")] and said[51] == [("user", "long " * 200_000), ("assistant", "1.5")]
+
+
+def test_lists_of_messages_hold_several_turns(spark):
+    turns = [(c, t, "user" if t % 2 else "assistant", f"turn {t}") for c in range(20) for t in range(11)] + [(99, 0, "user", f"x{k}") for k in range(200)]
+    records = as_records(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    sizes = [len(json.loads(r.record).get("messages", [])) for r in records]
+    assert max(sizes) == 8 and sum(s if s else 1 for s in sizes) == len(turns)
 
 
 def test_read_back(spark):

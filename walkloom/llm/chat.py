@@ -1,17 +1,21 @@
 """Chat formatting by schema fingerprints.
 
 A record is one JSON object in any of several layouts (prompt and completion, instruction and output, lists of
-messages). The set of its nested field paths is hashed; the hash selects a declarative mapping that yields canonical
-turns. Turns are rendered in one template: `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts a control
+messages). The set of its nested field paths, each with the kind of what it holds (a list, an object, or a value), is
+hashed; the hash selects a declarative mapping that yields canonical turns. Turns are rendered in one template: `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts a control
 string gets one backslash more after its first character (`<|im_end|>` becomes `<\\|im_end|>`, that becomes
 `<\\\\|im_end|>`), which removing one undoes. The loss mask covers the rendered texts of assistant turns.
 
 Formatting is by record, so a conversation of any length is never gathered; reading back streams over the sorted
-segments of a partition and holds one conversation's digests only.
-
-Defined cases: a null record, one that is no JSON object, or one whose paths no mapping has, gives one row without
-segment and a null layout; null texts and roles are empty; equal rows are formatted as often as they come; segments
-of equal order are ordered by their text; an empty table gives an empty result; extra columns are ignored.
+segments of a partition and holds one conversation's digests only. One conversation is read back by one task, as its
+digests run over its turns in order.
+
+Defined cases: a null record, one that is no JSON object (also: nested too deep to read), or one whose typed paths no
+mapping has (a list where a text should be, null for a list, items of mixed kinds), gives one row without segment and
+a null layout; null texts and roles are empty, numbers and truth values are their JSON; half surrogates become U+FFFD;
+an empty list of messages gives no turns; equal rows are formatted as often as they come; segments of equal order are
+ordered by their text; texts of any length are formatted whole; keys and orders must be numbers or read as such; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,17 +48,19 @@ class Mapping:
     optional: tuple[str, ...] = ()
 
     def path_sets(self) -> Iterator[frozenset[str]]:
-        need = {self.each, f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"} if self.each else {f for _, fs in self.turns for f in fs}
-        need -= set(self.optional)
+        if self.each:
+            need = {f"{self.each} list", f"{self.each}[] object", f"{self.each}[].{self.role} value", f"{self.each}[].{self.text} value"}
+        else:
+            need = {f"{f} value" for _, fs in self.turns for f in fs if f not in self.optional}
         for some in chain.from_iterable(combinations(self.optional, n) for n in range(len(self.optional) + 1)):
             if need or some:
-                yield frozenset(need | set(some))
+                yield frozenset(need | {f"{f} value" for f in some})
 
     def apply(self, record: dict) -> list[tuple[str, str]]:
-        said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+        said = lambda x: "" if x is None else whole(x) if isinstance(x, str) else json.dumps(x)
         first = [("system", said(record["system"]))] if self.each and "system" in record else []
         if self.each:
-            return first + [(self.roles.get(m.get(self.role), said(m.get(self.role))), said(m.get(self.text))) for m in record[self.each]]
+            return first + [(self.roles.get(said(m.get(self.role)), said(m.get(self.role))), said(m.get(self.text))) for m in record[self.each]]
         return [(role, "\n\n".join(said(record[f]) for f in fs if f in record)) for role, fs in self.turns if any(f in record for f in fs)]
 
 
@@ -69,18 +75,32 @@ MAPPINGS = (
 )
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
-    """Nested field paths; list items share one path with []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in {f"{at}{k}"} | field_paths(v, f"{at}{k}.")}
-    if isinstance(value, list):
-        base = at.removesuffix(".")
-        return {p for v in value for p in field_paths(v, f"{base}[].")}
-    return set()
+def whole(text: str) -> str:
+    """text as UTF-8 can hold it: half surrogates, which JSON can name, become U+FFFD."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def field_paths(value: object) -> set[str]:
+    """Nested field paths, each with the kind of what it holds; list items share one path with []."""
+    out: set[str] = set()
+    todo = [("", value)]
+    while todo:
+        at, v = todo.pop()
+        if at:
+            out.add(f"{at} object" if isinstance(v, dict) else f"{at} list" if isinstance(v, list) else f"{at} value")
+        if isinstance(v, dict):
+            todo += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{at}[]", x) for x in v]
+    return out
 
 
 def fingerprint(paths: set[str] | frozenset[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode(errors="surrogatepass")).hexdigest()[:16]
 
 
 def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
@@ -145,7 +165,7 @@ def format_records(records: DataFrame, key: str = "conv_id", order: str = "turn"
             for k, o, r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 try:
                     value = json.loads(r) if r is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     value = None
                 mark = fingerprint(field_paths(value)) if isinstance(value, dict) else None
                 mapping = known.get(mark)
@@ -202,19 +222,34 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def as_records(turns: DataFrame) -> DataFrame:
-    """Turn rows (conv_id, turn, role, text) as records of four layouts, by a hash of the conversation."""
+def as_records(turns: DataFrame, chunk: int = 8, most: int = 64) -> DataFrame:
+    """Turn rows (conv_id, turn, role, text) as records (conv_id, turn, record) of five layouts, by a hash of the
+    conversation. In the layout of whole lists, the rows of `chunk` turns in a row are the messages of one record, where
+    these are no more than `most` rows (turns may repeat); in the others each row is a record."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    kind = F.when(role.isin("user", "assistant", "system"), F.pmod(F.xxhash64("conv_id"), F.lit(4))).otherwise(0)
-    other = F.when(role == "user", F.lit("human")).when(role == "assistant", F.lit("gpt")).otherwise(role)
+    turns = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.floor(F.col("turn") / chunk).alias("chunk"))
+    known = F.col("role").isin("user", "assistant", "system")
+    draw = F.pmod(F.xxhash64("conv_id"), F.lit(5))
+    size = turns.filter(draw == 4).groupBy("conv_id", "chunk").agg(F.count("*").alias("n")).filter(F.col("n") <= most)
+    size = size.select(F.col("conv_id").alias("c_id"), F.col("chunk").alias("c_chunk"))
+    fits = turns["conv_id"].eqNullSafe(F.col("c_id")) & turns["chunk"].eqNullSafe(F.col("c_chunk"))
+    listed = turns.filter(draw == 4).join(size, fits, "left_semi")
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    listed = listed.groupBy("conv_id", "chunk").agg(F.min("turn").alias("turn"), F.sort_array(F.collect_list(message)).alias("m"))
+    listed = listed.select("conv_id", "turn", F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
+    single = turns.filter(draw != 4).unionByName(turns.filter(draw == 4).join(size, fits, "left_anti"))
+    kind = F.when(known, F.pmod(F.xxhash64("conv_id"), F.lit(5))).otherwise(0)
+    is_a = lambda name: F.col("role") == name
+    other = F.when(is_a("user"), F.lit("human")).when(is_a("assistant"), F.lit("gpt")).otherwise(F.col("role"))
     one = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    said = F.col("text")
     record = (
-        F.when(kind == 1, one(conversations=F.array(F.struct(other.alias("from"), text.alias("value")))))
-        .when((kind == 2) & (role == "user"), one(prompt=text))
-        .when((kind == 2) & (role == "assistant"), one(completion=text))
-        .when((kind == 3) & (role == "user"), one(instruction=text))
-        .when((kind == 3) & (role == "assistant"), one(output=text))
-        .when((kind >= 2) & (role == "system"), one(system=text))
-        .otherwise(one(messages=F.array(F.struct(role.alias("role"), text.alias("content")))))
+        F.when(kind == 1, one(conversations=F.array(F.struct(other.alias("from"), said.alias("value")))))
+        .when((kind == 2) & is_a("user"), one(prompt=said))
+        .when((kind == 2) & is_a("assistant"), one(completion=said))
+        .when((kind == 3) & is_a("user"), one(instruction=said))
+        .when((kind == 3) & is_a("assistant"), one(output=said))
+        .when(kind.isin(2, 3) & is_a("system"), one(system=said))
+        .otherwise(one(messages=F.array(F.struct(F.col("role").alias("role"), said.alias("content")))))
     )
-    return turns.select("conv_id", "turn", record.alias("record"))
+    return single.select("conv_id", "turn", record.alias("record")).unionByName(listed)
