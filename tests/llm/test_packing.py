@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from walkloom.llm.packing import fill_windows, in_powers, neighbour_recall, pack
-from walkloom.llm.tokens import PieceTokenizer
+from walkloom.llm.tokens import TextTokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, " ", "a", "  two  spaces\n\n x \t y ", "it's <|endoftext|> here <|endoftext|>", "été où çà x   y", "line\r\n next 12345 !!! ", "漢字 かな 🙂 🙂", "x" * 3000, "the quick brown fox " * 900, " end <|endoftext|>"]
@@ -17,13 +17,20 @@ def ids(t):
     return Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids
 
 
-def test_pieces_equal_whole_encoding():
-    tok = PieceTokenizer(PATH)
-    got = {}
-    for at, flat, n in tok.encode(pa.array(TEXTS), most_bytes=64):
-        for r, x in enumerate(np.split(flat, np.cumsum(n)[:-1])):
-            got[at + r] = x.tolist()
-    assert [got[i] for i in range(len(TEXTS))] == [ids(t) for t in TEXTS]
+def test_ids_equal_the_library(spark):
+    tok = TextTokenizer(PATH)
+    assert tok.fast and tok.vocabulary == 50257
+    texts = [*TEXTS, " " * 1_500_000, "\n" * 900_000 + "x", "^" * 200_000]
+    assert [x.tolist() for x in tok.encode(pa.array(texts))] == [ids(t) for t in texts]
+
+
+def test_every_code_point_is_divided_alike():
+    """One text for each code point, with it beside letters, digits, spaces and itself."""
+    tok = TextTokenizer(PATH)
+    for at in range(0, 0x110000, 50_000):
+        texts = [f"a{c}b {c}{c}1 {c} x{c}{c}  {c}\n9{c}" for c in map(chr, range(at, min(at + 50_000, 0x110000))) if not "\ud800" <= c <= "\udfff"]
+        want = [e.ids for e in tok.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [tok.ids(t).tolist() for t in texts] == want
 
 
 def test_pack_is_lossless(spark):
@@ -80,11 +87,10 @@ def test_shards_by_content_find_copies():
     assert got["copies"] >= 0.9 and got["recall"] >= 0.3 and got["score_ratio"] >= 0.5
 
 
-def test_other_tokenizers_encode_whole_texts():
+def test_other_tokenizers_keep_their_own_way():
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok, whole = PieceTokenizer(path), Tokenizer.from_file(path)
-    got = [x.tolist() for _, flat, n in tok.encode(pa.array(TEXTS)) for x in np.split(flat, np.cumsum(n)[:-1])]
-    assert not tok.cuts and got == [whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    tok, whole = TextTokenizer(path), Tokenizer.from_file(path)
+    assert not tok.fast and [x.tolist() for x in tok.encode(pa.array(TEXTS))] == [whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
 
 
 def test_powers():

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.tokens import PieceTokenizer, default_tokenizer, shared_tokenizer
+from walkloom.llm.tokens import TextTokenizer, default_tokenizer, shared_tokenizer
 from walkloom.sharedfs import materialize
 
 _PARTS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
@@ -44,7 +44,7 @@ _KEYS = 4  # min-hashes in a tail's key
 
 
 def checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
 def _tokenise(path: str, end_id: int, window: int, with_ids: bool):
@@ -56,19 +56,23 @@ def _tokenise(path: str, end_id: int, window: int, with_ids: bool):
         seen = np.zeros(max(tok.vocabulary, end_id + 1), np.int64)
         sequence = (1 << 62) + (TaskContext.get().partitionId() << 36)
         for batch in batches:
-            doc = batch.column(0)
-            for at, ids, n in tok.encode(batch.column(1)):
-                out: list[tuple] = []
-                stop = np.cumsum(n)
-                for r in range(len(n)):
-                    x = np.append(ids[stop[r] - n[r] : stop[r]], np.uint32(end_id))
-                    d, whole = doc[at + r].as_py(), len(x) // window * window
-                    for s in range(0, whole, window):
-                        out.append(("whole", d, s, window, checksum(x[s : s + window]), len(x), sequence, x[s : s + window].astype(kind_of).tobytes() if with_ids else None))
-                        sequence += 1
-                    if whole < len(x):
-                        seen[np.unique(x[whole:])] += 1
-                        out.append(("tail", d, whole, len(x) - whole, checksum(x[whole:]), len(x), None, x[whole:].astype(kind_of).tobytes()))
+            out: list[tuple] = []
+            held = 0
+            for d, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
+                x = np.append(ids, np.uint32(end_id))
+                whole = len(x) // window * window
+                for s in range(0, whole, window):
+                    part = x[s : s + window]
+                    out.append(("whole", d, s, window, checksum(part), len(x), sequence, part.astype(kind_of).tobytes() if with_ids else None))
+                    sequence += 1
+                if whole < len(x):
+                    seen[np.unique(x[whole:])] += 1
+                    out.append(("tail", d, whole, len(x) - whole, checksum(x[whole:]), len(x), None, x[whole:].astype(kind_of).tobytes()))
+                held += len(x)
+                if held >= 1 << 20:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PARTS, strict=True)], schema=_PARTS)
+                    out, held = [], 0
+            if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PARTS, strict=True)], schema=_PARTS)
         terms = np.flatnonzero(seen)
         if len(terms):
@@ -111,26 +115,41 @@ def _keyed(idf: np.ndarray, wide: str):
 
 
 class ShardIndex:
-    """BM25 postings of some tails; weights from corpus-wide document frequencies."""
+    """BM25 weights of some tails, by term: rows over all tails for the terms that many have, postings for the others.
+    Weights come from corpus-wide document frequencies."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = _K1, b: float = _B):
-        size = np.array([len(t) for t in tails])
-        key = np.sort((np.repeat(np.arange(len(tails), dtype=np.int64), size) << 32) | np.concatenate(tails).astype(np.int64))
+        size, n = np.array([len(t) for t in tails]), len(tails)
+        key = np.sort((np.repeat(np.arange(n, dtype=np.int64), size) << 32) | np.concatenate(tails).astype(np.int64))
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         tf = np.diff(np.append(cut, len(key)))
         key = key[cut]
         doc, term = key >> 32, key & 0xFFFFFFFF
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
-        self.of, self.term, self.n = np.searchsorted(doc, np.arange(len(tails) + 1)), term, len(tails)
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.of, self.n = np.searchsorted(doc, np.arange(n + 1)), n
+        # Terms are numbered anew, those of many tails first.
+        held, term = np.unique(term, return_inverse=True)
+        df = np.bincount(term, minlength=len(held))
+        place = np.argsort(-df, kind="stable")
+        number = np.empty(len(held), np.int64)
+        number[place] = np.arange(len(held))
+        self.term, self.common = number[term], int((df > max(1, n / 32)).sum())
+        often = self.term < self.common
+        self.rows = np.zeros((self.common, n), np.float32)
+        self.rows[self.term[often], doc[often]] = weight[often]
+        order = np.argsort(self.term[~often], kind="stable")
+        self.doc, self.weight = doc[~often][order], weight[~often][order]
+        self.first = np.searchsorted(self.term[~often][order], np.arange(len(held) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all tails, by all of the seed's terms."""
         t = self.term[self.of[seed] : self.of[seed + 1]]
-        runs = [slice(self.first[x], self.first[x + 1]) for x in t]
-        return np.bincount(np.concatenate([self.doc[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.n)
+        score = self.rows[t[t < self.common]].sum(0, dtype=np.float64)
+        rare = t[t >= self.common]
+        run = self.first[rare + 1] - self.first[rare]
+        at = np.repeat(self.first[rare] - np.cumsum(run) + run, run) + np.arange(run.sum())
+        np.add.at(score, self.doc[at], self.weight[at])
+        return score
 
     def neighbours(self, seed: int, free: np.ndarray, most: int) -> list[int]:
         """Free tails that share any of the seed's terms, best first; ties by place."""
@@ -220,11 +239,11 @@ def neighbour_recall(tails: list[np.ndarray], shard_tokens: int, queries: list[i
     return {"recall": float(np.mean(met)), "score_ratio": float(np.mean(ratio)), "copies": float(np.mean(copies)) if copies else 1.0}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, window: int = 2048, shard_tokens: int = 1_000_000, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, window: int = 2048, shard_tokens: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids are
     little-endian numbers of 16 bits (32 where the vocabulary needs them), or null unless with_ids."""
     path = tokenizer or default_tokenizer()
-    wide = "<u2" if PieceTokenizer(path).vocabulary <= 1 << 16 else "<u4"
+    wide = "<u2" if TextTokenizer(path).vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = rows.mapInArrow(_tokenise(path, end_id, window, with_ids), "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary")
     parts = materialize(parts, "pack-parts", ["kind"])
@@ -278,7 +297,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     run, kinds = _keyed(idf, wide)
     order = [*[f"k{i}" for i in range(_KEYS)], "ids_crc32", "doc_id", "start"]
     keyed = tails.select("doc_id", "start", "ids_crc32", "doc_tokens", "ids").mapInArrow(run, kinds)
-    tasks = max(1, -(-(total["tokens"] or 0) // (4 * shard_tokens)))
+    tasks = max(1, -(-(total["tokens"] or 0) // (2 * shard_tokens)))
     dealt = keyed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "ids")
     whole = parts.filter("kind = 'whole'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), "ids")
     return dealt.mapInArrow(shards, _PIECES).unionByName(whole)

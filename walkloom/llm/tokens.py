@@ -1,33 +1,25 @@
-"""Token ids of whole texts by the `tokenizers` library, each distinct piece encoded once.
+"""Token ids of whole texts, as the `tokenizers` library gives them for a tokenizer file.
 
-The byte-level pattern never joins what stands before a space to what follows it when a visible character comes
-next, nor an ASCII letter to an ASCII sign or digit after it, so a text may be cut at these places and the pieces
-encoded on their own. The cuts are found on the text's bytes, equal pieces by Arrow's dictionary encoding, and only
-pieces that a worker process has not seen lately reach the library. Texts that hold a special token's string are
-encoded whole, and so is every text where the tokenizer divides by another pattern or changes texts first.
+A byte-level BPE file whose texts are divided by the byte-level pattern alone is also a table of ranks, which
+`tiktoken` applies several times faster with equal ids: the merges must be in order of their ids, and both libraries
+divide texts by one pattern. Texts that hold a special token's string, those `tiktoken` refuses (very long runs of white
+space), and every text of any other tokenizer go to the `tokenizers` library itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from walkloom.llm.textkernels import slices
-
-#: Bytes after a space that surely begin a visible character: ASCII from ! to ~, and U+00C0 to U+00FF.
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-_VISIBLE[0xC3] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_SIGN = ~_LETTER
-_SIGN[:0x21] = _SIGN[0x7F:] = False
+#: The byte-level pattern, and the bytes that stand for themselves as characters of a vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+VISIBLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 
 
 def default_tokenizer() -> str:
@@ -36,128 +28,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class PieceTokenizer:
-    """`cache` pieces at most are kept, with their ids in one flat array."""
-
-    def __init__(self, path: str, cache: int = 600_000):
+def byte_ranks(rules: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a byte-level BPE file as ranks of byte strings, or None where ranks do not say all of it."""
+    model, before = rules["model"], rules["pre_tokenizer"] or {}
+    plain = rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or odd or model.get("type") != "BPE":
+        return None
+    hidden = [b for b in range(256) if b not in set(VISIBLE)]
+    byte_of = {chr(b): b for b in VISIBLE} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    vocabulary = model["vocab"]
+    special = {t["content"] for t in rules["added_tokens"] or ()}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [vocabulary.get(m, -1) for m in merged]
+    base = [t for t in vocabulary if t not in special and len(t) == 1]
+    known = set(base) | set(merged) | special
+    if ids != sorted(ids) or -1 in ids or len(base) != 256 or set(vocabulary) - known or any(c not in byte_of for t in set(base) | set(merged) for c in t):
+        return None
+    if max(vocabulary[t] for t in base) > min(ids, default=1 << 32):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+
+
+class TextTokenizer:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        rules = json.loads(self.tokenizer.to_str())
-        before = rules["pre_tokenizer"] or {}
-        #: Whether texts may be cut: the byte-level pattern itself, and nothing else, divides them.
-        self.cuts = rules["normalizer"] is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space")
-        self.bytes_of = np.zeros(self.vocabulary, np.int64)  # a byte-level token has one character a byte
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes_of[i] = len(token)
-        self.most = cache
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _encoded(self, pieces: list[str], size: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per piece) of pieces with these numbers of bytes, first and second bytes. Pieces that begin with a
-        space and a visible character stand in one string as they are, those that begin with a sign after " a"; both
-        are places where texts may be cut. The ids' lengths in bytes tell where a piece ends; were one not to end
-        there, each piece would be encoded by itself."""
-        spaced = (first == 32) & _VISIBLE[second] & (size > 1)
-        signed = _SIGN[first] & ~spaced
-        spaced, signed, lone = np.flatnonzero(spaced), np.flatnonzero(signed), np.flatnonzero(~(spaced | signed))
-        n = np.zeros(len(pieces), np.int64)
-        begin = np.zeros(len(pieces), np.int64)
-        joined = "".join([pieces[i] for i in spaced] + [" a" + pieces[i] for i in signed])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-        # Where each part ends: pieces after a space, then " a" and a piece in turn.
-        turns = np.stack([np.full(len(signed), 2), size[signed]], 1).ravel()
-        stop = np.cumsum(np.concatenate([size[spaced], turns]))
-        ends = np.append(0, np.cumsum(self.bytes_of[ids]))
-        at = np.append(0, np.searchsorted(ends, stop))
-        if len(ids) and (at[-1] != len(ids) or (ends[at[1:]] != stop).any()):
-            lone, spaced, signed, ids, at = np.arange(len(pieces)), spaced[:0], signed[:0], ids[:0], at[:1]
-        k = len(spaced)
-        begin[spaced], n[spaced] = at[:k], np.diff(at[: k + 1])
-        begin[signed], n[signed] = at[k + 1 : -1 : 2], (at[k + 2 :: 2] - at[k + 1 : -1 : 2])
-        alone = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in lone], add_special_tokens=False)]
-        n[lone] = [len(a) for a in alone]
-        begin[lone] = len(ids) + np.cumsum(n[lone]) - n[lone]
-        ids = np.append(ids, np.fromiter(chain.from_iterable(alone), np.int64))
-        return ids[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
-
-    def _learn(self, pieces: list[str], size: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        for at in range(0, len(pieces), 8192):
-            part = pieces[at : at + 8192]
-            ids, n = self._encoded(part, size[at : at + 8192], one[at : at + 8192], two[at : at + 8192])
-            first = len(self.slot)
-            while first + len(part) > len(self.start):
-                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.start[first : first + len(part)] = self.used + np.cumsum(n) - n
-            self.size[first : first + len(part)] = n
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.slot.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def _slots(self, distinct: pa.Array) -> np.ndarray:
-        pieces = distinct.to_pylist()
-        got = list(map(self.slot.get, pieces))
-        new = [i for i, g in enumerate(got) if g is None]
-        if new:
-            if len(self.slot) + len(new) > self.most:
-                self._clear()
-                new = list(range(len(pieces)))
-            _, offsets, values = distinct.buffers()
-            off = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
-            data, at = np.frombuffer(values, np.uint8), np.array(new)
-            size, one = off[at + 1] - off[at], data[off[at]]
-            self._learn([pieces[i] for i in new], size, one, data[np.minimum(off[at] + 1, len(data) - 1)])
-            got = list(map(self.slot.__getitem__, pieces))
-        return np.array(got, np.int64)
-
-    def _cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per row) of one slice."""
-        rows = len(off) - 1
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        first = np.zeros(len(data), bool)
-        first[:-1] = (data[:-1] == 32) & _VISIBLE[data[1:]]
-        first[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
-        full = off[:-1] < off[1:]
-        last = off[1:][full] - 1
-        first[last] &= data[last] != 32  # a text's last space has nothing after it
-        first[off[:-1][full]] = True
-        at = np.flatnonzero(first)
-        pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pieces.dictionary_encode()
-        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
-        n = self.size[slot]
-        ids = self.flat[np.repeat(self.start[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        row = np.searchsorted(off, at, "right") - 1
-        return ids, np.bincount(row, weights=n, minlength=rows).astype(np.int64)
-
-    def encode(self, text: pa.Array, most_bytes: int = 3 << 20):
-        """(first row, ids, ids per row) slice by slice; null is empty."""
-        plain = np.full(len(text), self.cuts)
+        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        ranks = byte_ranks(json.loads(self.tokenizer.to_str()))
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str, plain: bool = True) -> np.ndarray:
+        """plain: no special token's string is in the text."""
+        if plain and self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+            except ValueError:  # its pattern gives up on very long runs
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, text: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; null is empty."""
+        plain = np.ones(len(text), bool)
         for s in self.special:
             plain &= ~pc.fill_null(pc.match_substring(text, s), False).to_numpy(zero_copy_only=False)
-        for at, data, off in slices(text, most_bytes):
-            ids, n = self._cut(data, off) if self.cuts else (np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64))
-            odd = np.flatnonzero(~plain[at : at + len(n)])
-            if len(odd):
-                parts = np.split(ids, np.cumsum(n)[:-1])
-                for r in odd:
-                    parts[r] = np.array(self.tokenizer.encode(text[at + int(r)].as_py() or "", add_special_tokens=False).ids, np.uint32)
-                ids, n = np.concatenate(parts), np.array([len(p) for p in parts])
-            yield at, ids, n
+        for t, p in zip(text, plain.tolist(), strict=True):
+            yield self.ids(t.as_py() or "", p)
 
 
 @lru_cache(2)
-def shared_tokenizer(path: str) -> PieceTokenizer:
-    """One tokenizer per worker process: pieces learned in one task serve the next."""
+def shared_tokenizer(path: str) -> TextTokenizer:
+    """One tokenizer per worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    return PieceTokenizer(path)
+    return TextTokenizer(path)
