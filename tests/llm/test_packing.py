@@ -20,7 +20,7 @@ def ids(t):
 def test_ids_equal_the_library(spark):
     tok = TextTokenizer(PATH)
     assert tok.fast and tok.vocabulary == 50257
-    texts = [*TEXTS, " " * 1_500_000, "\n" * 900_000 + "x", "^" * 200_000]
+    texts = [*TEXTS, " " * 1_500_000, "\n" * 900_000 + "x", "^" * 200_000, " " * 100_000, "\r\n \t" * 25_000]
     assert [x.tolist() for x in tok.encode(pa.array(texts))] == [ids(t) for t in texts]
 
 
