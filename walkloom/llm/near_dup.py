@@ -178,14 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = classes.select("cid", "sig")
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     full = materialize(members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "near-full")
-    members = materialize(by_bucket(members, full, "m"), "near-buckets")
+    members = materialize(by_size(members, full, "bucket", "cid", "m"), "near-buckets")
     few = members.filter(F.col("m") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("cid")).alias("c"))
     each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     close = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
     weight = members.groupBy("cid").agg(F.sum("m").alias("w"))
     members = materialize(members.filter(F.col("m") > small).join(weight, "cid").select("bucket", "cid", "m", "w"), "near-large")
     centre = materialize(members.groupBy("bucket").agg(F.max(F.struct("w", "cid"))["cid"].alias("pivot"), F.count("*").alias("m")), "near-pivots")
-    pairs = by_bucket(members.select("bucket", "cid"), centre, "pivot", "m").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
+    pairs = by_size(members.select("bucket", "cid"), centre, "bucket", "cid", "pivot").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
 
     def sets_of(who: DataFrame) -> DataFrame:
         """(cid, shingles) of the classes in who(cid): their texts are found again by row key, cut again, and taken
@@ -216,20 +216,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = lead.join(roots.select(F.col("node").alias("pivot"), "root"), "pivot", "left").select("bucket", "pivot", "m", F.coalesce("root", "pivot").alias("p_root"))
     lead = materialize(lead, "near-lead")
     # A pair not settled yet shares open buckets only (in any other it was compared, or is one component).
-    at = materialize(by_bucket(at, lead, "pivot", "m", "p_root"), "near-open-at")
+    at = materialize(by_size(at, lead, "bucket", "cid", "pivot", "p_root"), "near-open-at")
     lead = at.select("pivot", "p_root").distinct()
     open_ = materialize(at.select("pivot", "cid", "root").distinct(), "near-open")
     if open_.limit(1).count():
         sets = sets_of(open_.select("cid").union(open_.select("pivot")).distinct())
         beside = with_sets(open_, sets, "pivot", "cid").select("pivot", "cid", "root", "set_b", "set_a")
         beside = materialize(beside.mapInArrow(_beside(percent), "pivot binary, cid binary, root binary, n long, pivot_n long, reach long, lacks array<long>, prefix long, outside array<long>"), "near-beside")
-        # Through the pivot alone: sizes meet in steps of two per cent.
-        step = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.02)))
+        # Through the pivot alone: sizes meet in steps of a tenth. Members linked with the pivot are one component; the
+        # side without that link is spread over the steps.
+        step = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.1)))
         small_side = F.ceil(F.col("n") * percent / 100)
-        reach = beside.filter(F.col("reach") >= small_side).select("pivot", "cid", "root", "n", "pivot_n", "reach", "lacks", F.explode(F.sequence(step(small_side), step(F.col("reach")))).alias("step"))
+        apart = beside.join(lead, "pivot").filter((F.col("root") != F.col("p_root")) & (F.col("reach") >= small_side))
+        near = apart.select("pivot", "cid", "root", "n", "pivot_n", "reach", "lacks", F.explode(F.sequence(step(small_side), step(F.col("reach")))).alias("step"))
         other = beside.select("pivot", F.col("cid").alias("o_cid"), F.col("root").alias("o_root"), F.col("n").alias("o_n"), F.col("reach").alias("o_reach"), F.col("lacks").alias("o_lacks"), step(F.col("n")).alias("step"))
-        # Members linked with the pivot are one component; the side without that link is spread over the steps.
-        near = reach.join(lead, "pivot").filter("root <> p_root")
         lost = F.aggregate(F.zip_with("lacks", "o_lacks", lambda x, y: F.bit_count(x.bitwiseOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
         both, size = F.col("pivot_n") - lost, F.col("n") + F.col("o_n")
         inside = (both * (100 + percent) >= size * percent) & F.expr("root <> o_root and o_n <= reach and n <= o_reach")
@@ -249,24 +249,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             roots = component_labels(links.unionByName(more))
     comp = classes.select(F.col("cid").alias("digest"), "low").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = comp.groupBy("root").agg(F.min("low").alias("component_id"))
-    comp = materialize(comp.join(named, "root").select("digest", "root", "component_id"), "near-components")
+    comp = materialize(comp, "near-roots")
+    named = materialize(comp.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m")), "near-names")
+    comp = materialize(by_size(comp.select("digest", "root"), named, "root", "digest", "component_id"), "near-components")
     return _attach(sketch, comp)
 
 
-def by_bucket(rows: DataFrame, info: DataFrame, *values: str, heavy: int = 2000) -> DataFrame:
-    """rows(bucket, ..) joined with info(bucket, m, ..), one row a bucket. Buckets of more than a share of 1 / heavy
-    of the rows, of which there are fewer than `heavy`, come by broadcast, so that no join key is hot."""
+def by_size(rows: DataFrame, info: DataFrame, key: str, name: str, *values: str, heavy: int = 2000) -> DataFrame:
+    """rows(key, name, ..) joined with info(key, m, values..), one row a key, m its number of rows. Keys of more than a
+    share of 1 / heavy of the rows, of which there are fewer than `heavy`, come by broadcast, so that no join key is
+    hot; name (hashed) spreads their rows."""
     total = info.agg(F.sum("m")).first()[0] or 0
-    info = info.select("bucket", "m", *[v for v in values if v != "m"])
-    big = info.filter(F.col("m") > max(1, total // heavy)).select(F.col("bucket").alias("b_bucket"), *[F.col(v).alias(f"b_{v}") for v in values])
-    rest = info.filter(F.col("m") <= max(1, total // heavy)).select(F.col("bucket").alias("look"), *[F.col(v).alias(f"s_{v}") for v in values])
+    often = F.col("m") > max(1, total // heavy)
+    big = info.filter(often).select(F.col(key).alias("b_key"), *[F.col(v).alias(f"b_{v}") for v in values])
+    rest = info.filter(~often).select(F.col(key).alias("look"), *[F.col(v).alias(f"s_{v}") for v in values])
     names = [c for c in rows.columns if c not in values]
-    near = rows.select(*names).join(F.broadcast(big), F.col("bucket") == F.col("b_bucket"), "left")
+    near = rows.select(*names).join(F.broadcast(big), F.col(key) == F.col("b_key"), "left")
     # Rows of the heavy ones find nothing more, wherever their keys lead.
-    near = near.withColumn("key", F.when(F.col("b_bucket").isNull(), F.col("bucket")).otherwise(F.xxhash64("cid")))
-    near = near.join(rest, F.col("key") == F.col("look"), "left").filter("b_bucket is not null or look is not null")
-    return near.select(*names, *[F.when(F.col("b_bucket").isNotNull(), F.col(f"b_{v}")).otherwise(F.col(f"s_{v}")).alias(v) for v in values])
+    spread = F.xxhash64(name)
+    near = near.withColumn("seek", F.when(F.col("b_key").isNull(), F.col(key)).otherwise(spread if dict(rows.dtypes)[key] == "bigint" else spread.cast("string").cast("binary")))
+    near = near.join(rest, F.col("seek") == F.col("look"), "left").filter("b_key is not null or look is not null")
+    return near.select(*names, *[F.when(F.col("b_key").isNotNull(), F.col(f"b_{v}")).otherwise(F.col(f"s_{v}")).alias(v) for v in values])
 
 
 def _attach(sketch: DataFrame, comp: DataFrame, heavy_share: float = 0.001) -> DataFrame:
