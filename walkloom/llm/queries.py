@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from walkloom.llm.chat import CONTROLS, as_records, format_records, read_back
 from walkloom.llm.exact_dedup import exact_groups
-from walkloom.llm.licences import EQUIVALENTS, KNOWN, known_licences, scan_licences, sign_characters
+from walkloom.llm.licences import DIGESTS, EQUIVALENTS, KNOWN, known_licences, scan_licences, sign_characters
 from walkloom.llm.media import decode_media, encode_media
 from walkloom.llm.mixing import mix
 from walkloom.llm.near_dup import near_duplicates
@@ -119,14 +119,16 @@ def _canonical_words(column: str) -> str:
 
 _CLOSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
 _KNOWN_ROWS = ", ".join(f"({i}, {_quoted(n)}, {_quoted(k)}, {_quoted(t)})" for i, (n, k, t) in enumerate(KNOWN))
+_DIGEST_ROWS = ", ".join(f"({len(KNOWN) + i}, {_quoted(n)}, {_quoted(d)})" for i, (n, d) in enumerate(DIGESTS))
 ORACLE["op2_licence_scan"] = f"""
-    with k as (select kind, body, min_by(licence, place) as licence from (select place, licence, kind, {_CLOSED.format(_canonical_words("text"))} as body from (values {_KNOWN_ROWS}) v(place, licence, kind, text)) x group by 1, 2),
+    with f as (select place, licence, kind, {_CLOSED.format(_canonical_words("text"))} as body from (values {_KNOWN_ROWS}) v(place, licence, kind, text)),
+    k as (select kind, digest, min_by(licence, place) as licence from (select place, licence, kind, sha256(body) as digest from f union all select place, licence, 'text', digest from (values {_DIGEST_ROWS}) v(place, licence, digest)) x group by 1, 2),
     d as (select doc_id, {_canonical_words("text")} as w from documents),
     l as (select doc_id, {_CLOSED.format("line")} as body from (select doc_id, unnest(string_split(w, chr(10))) as line from d) x),
-    n as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices, count(*) as lines from l join k on k.kind = 'notice' and k.body = l.body and l.body <> '' group by 1),
+    n as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices, count(*) as lines from l join k on k.kind = 'notice' and k.digest = sha256(l.body) and l.body <> '' group by 1),
     t as (select doc_id, {_CLOSED.format("w")} as body from d)
     select t.doc_id, sha256(t.body) as text_digest, k.licence, coalesce(n.notices, '') as notices, coalesce(n.lines, 0) as notice_lines
-    from t left join k on k.kind = 'text' and k.body = t.body and t.body <> '' left join n on n.doc_id = t.doc_id"""
+    from t left join k on k.kind = 'text' and k.digest = sha256(t.body) and t.body <> '' left join n on n.doc_id = t.doc_id"""
 
 _TRACKED = ", ".join(_quoted(x) for x in TRACKING)
 ORACLE["op7_warc_revisits"] = f"""
