@@ -7,7 +7,9 @@ projection without Python.
 
 Defined cases: null and empty texts have no candidates; a text may have any number, each with its place (code points
 before it); repeated rows give repeated findings; a null path counts as none; labelled findings need both labels,
-else every candidate is reported with score 1 (nothing is removed without evidence); an empty table gives an empty
+else every candidate is reported with score 1 (nothing is removed without evidence); strings of fewer than `least`
+characters are no candidates, and a dotted one (a signed token) is as many as its parts; a text of any length is
+searched whole, with 40 and 16 characters beside each candidate read by the forest; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -85,25 +87,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """(candidate, before, after, path, label): generated findings of ten kinds, half secrets. Row n is made from
-    SHA-256 of n alone."""
+    """(candidate, before, after, path, label): generated findings of fourteen kinds, every other one secrets. Four kinds
+    are hard negatives in the very dress of secrets: placeholders of dictionary words behind `token = "`, digests and
+    tags of as many hexadecimal digits, and picture data. Row n is made from SHA-256 of n alone."""
     n = F.col("id")
     h, g = F.sha2(F.concat(F.lit("a"), n.cast("string")).cast("binary"), 256), F.sha2(F.concat(F.lit("b"), n.cast("string")).cast("binary"), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(F.concat(h, g))), "[+/=]", "A")
-    kind = n % 10
-    word = F.element_at(F.split(F.lit(" ".join(w for w in DICTIONARY if w.isalpha() and len(w) > 3)), " "), (F.floor(n / 10) % 20 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in (0, 5, 1, 6, 2, 7, 3, 8, 4, 12, 10, 13, 11, 14)]), (n % 14 + 1).cast("int"))
+    word = F.element_at(F.split(F.lit(" ".join(w for w in DICTIONARY if w.isalpha() and len(w) > 3)), " "), (F.floor(n / 14) % 20 + 1).cast("int"))
     candidate = (
         F.when(kind == 0, F.substring(h, 1, 40)).when(kind == 1, F.concat(F.lit("AKIA"), F.upper(F.substring(b64, 1, 16)))).when(kind == 2, F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)))
         .when(kind == 3, F.substring(b64, 1, 32)).when(kind == 4, F.upper(F.substring(h, 1, 40)))
         .when(kind == 5, F.substring(h, 1, 40)).when(kind == 6, F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
         .when(kind == 7, F.concat(word, F.lit("_example_"), word, F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 3))).when(kind == 8, F.concat(F.lit("images/"), word, F.lit("/page-"), F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 5), F.lit("/index")))
-        .otherwise(F.concat(word, F.lit("tion"), word, F.lit("ment"), F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 2)))
+        .when(kind == 10, F.concat(F.lit("eyJ"), F.substring(b64, 1, 33))).when(kind == 11, F.concat(h, F.substring(g, 1, 8)))
+        .when(kind == 12, F.concat(F.lit("your_"), word, F.lit("_secret_here_"), F.substring(F.regexp_replace(h, "[a-f]", ""), 1, 2)))
+        .when(kind == 13, h).when(kind == 14, F.concat(F.lit("iVBORw0KGgo"), F.substring(b64, 1, 40)))
+        .otherwise(None)
     )
-    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(n / 10) % len(xs) + 1).cast("int"))
-    before = F.when(kind < 5, pick('token = "', 'TOKEN = "', "api_key: ", 'secret = "', "password=", 'auth_token: "', 'Bearer ')).when(kind == 5, pick("commit ", "sha1: ", "digest = ", 'etag: "', "checksum=")).when(kind == 6, pick("uuid ", "id: ", 'guid = "', "see ")).otherwise(pick("see ", "in ", "the ", 'href="', ", "))
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(n / 14) % len(xs) + 1).cast("int"))
+    secret = (kind < 5) | kind.isin(10, 11)
+    before = F.when((kind < 5) | kind.isin(11, 12), pick('token = "', 'TOKEN = "', "api_key: ", 'secret = "', "password=", 'auth_token: "', 'Bearer ')).when(kind == 5, pick("commit ", "sha1: ", "digest = ", 'etag: "', "checksum=")).when(kind == 6, pick("uuid ", "id: ", 'guid = "', "see ")).when(kind == 10, pick("Bearer ", 'token: "', "Authorization: Bearer ")).when(kind == 13, pick('sha256 = "', "digest: ", 'etag: "', "integrity=")).when(kind == 14, pick("data:image/png;base64,", 'src="data:image/png;base64,')).otherwise(pick("see ", "in ", "the ", 'href="', ", "))
     after = F.when(before.rlike('"$'), F.lit('" ')).otherwise(" ")
-    path = F.when(kind < 5, pick("app/config.yml", "src/main.py", "src3", ".env", "web")).when(kind == 7, pick("tests/test_api.py", "docs/guide.md", "examples/run.py", "src7")).otherwise(pick("src/main.py", "package.lock", "src3", "web", "README.md"))
-    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), (kind < 5).cast("int").alias("label"))
+    path = F.when(secret | (kind == 12), pick("app/config.yml", "src/main.py", "src3", ".env", "web")).when(kind == 7, pick("tests/test_api.py", "docs/guide.md", "examples/run.py", "src7")).otherwise(pick("src/main.py", "package.lock", "src3", "web", "README.md"))
+    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), secret.cast("int").alias("label"))
 
 
 def fit_forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 5):
