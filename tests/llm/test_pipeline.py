@@ -50,3 +50,22 @@ def test_stages_by_brute_force(spark, tmp_path):
         copies[r.doc_id] += 1
     whole = {r.doc_id: r.doc_tokens for r in at["packing"]}
     assert all(n[i] == copies[i] * whole[i] for i in copies) and set(n) == set(copies)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, ties, an extra column, and an empty table."""
+    kind = KIND + ", kept long"
+    word = lambda i: f"w{i}x{i * i}"
+    body = " ".join(word(i) for i in range(30))
+    rows = [(1, body, "en", "a", 5, 1), (1, body, "en", "a", 5, 1), (1, body + " more", None, None, None, None), (None, body + " less", "en", "b", 1, 2), (None, None, None, None, None, None), (2, "", "en", "a", 0, 0), (3, "same", "en", "a", 1, 1), (3, "same", "en", "a", 1, 2), (4, "long " * 100_000, "en", "c", 1, 1)]
+    for n, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(some, kind).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        docs, sizes = spark.read.parquet(f"{tmp_path}/{n}/documents.parquet"), {}
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, f"{tmp_path}/{n}"), f"odd-{name}")
+            sizes[name] = docs.count()
+            assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+        # Six texts, white space aside; three of them are near copies.
+        assert sizes["quality"] == len(some) and sizes["exact_dedup"] == (6 if some else 0) and sizes["near_dedup"] == (4 if some else 0)
+        assert (sizes["packing"] > 0) == bool(some)

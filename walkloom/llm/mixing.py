@@ -7,7 +7,9 @@ dynamic programme over the lengths for the last `dp_words` words. Which document
 settled by a seeded hash, counted off bucket by bucket, so that no length's documents meet in one task.
 
 Defined cases: null or empty text has size 0 and takes nothing; null sources form one source, ordered last; a
-null id is hashed like any value; repeated rows each count; an empty table gives an empty result; extra columns
+null id is hashed like any value; repeated rows each count; a text of any length is counted whole, in place; sources and
+distinct lengths are assumed to fit one task each (targets: one row a source; a source's plan: one row a length, no more
+than the square root of twice its words); an empty table gives an empty result; extra columns
 are ignored. Rows that agree in id, source and size are interchangeable.
 """
 

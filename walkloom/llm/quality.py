@@ -6,10 +6,12 @@ penalty, Newton steps). The threshold is a quantile of the training strengths, a
 the score is the sigmoid of the strength, shifted so that the threshold scores `cut`.
 
 The fit uses at most `sample_rows` labelled rows, half of them of each label where there are enough, picked by a
-seeded hash; scoring reads every whole text. Nothing but the text enters a score.
+seeded hash, and one row of an id that repeats; of their pairs at most `pairs` preferences are drawn, with a seed.
+Scoring reads every whole text. Nothing but the text enters a score.
 
 Defined cases: null and empty texts have all-zero counts and get the score of such a text; rows that repeat an id are
-each scored; a labelled id with two different labels, a null label or no document teaches nothing; without both
+each scored, and teach by the first of their texts in order; texts of any length are read whole, a task holds one batch
+of them; ids must be numbers or read as such; a labelled id with two different labels, a null label or no document teaches nothing; without both
 labels every document scores `cut`, and is accepted; an empty table gives an empty result; other columns pass through
 `keep_good` and are not read by `quality_scores`.
 """
@@ -151,7 +153,8 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     share = F.when(F.col("_good") == 1, min(1.0, sample_rows / 2 / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_rows / 2 / max(1, n.get(0, 0))))
     picked = known.filter(draw < share)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    taught = text.join(F.broadcast(picked), F.col("_id") == F.col("_l_id")).select("_id", "text", F.col("_good").cast("int").alias("good"))
+    taught = text.join(F.broadcast(picked), F.col("_id") == F.col("_l_id"))
+    taught = taught.groupBy(F.col("_id").cast("long").alias("_id"), F.col("_good").cast("int").alias("good")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("_id", "text", "good")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
