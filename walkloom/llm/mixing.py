@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,19 +112,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = hist.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + rows // bucket_rows
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ignore_index=True)
-        size, target = int(pdf.source_size[0]), float(pdf.target[0])
-        want = int(round(target))
+    def fit(lengths: pa.Table) -> pa.Table:
+        lengths = lengths.sort_by("size")
+        words, n = lengths["size"].to_numpy(), lengths["n"].to_numpy()
+        size, want = lengths["source_size"][0].as_py(), int(round(lengths["target"][0].as_py()))
         passes = min(max_repeats, want // size) if size else 0
-        live = pdf["size"].to_numpy() > 0
-        more = np.zeros(len(pdf), np.int64)
+        live = words > 0
+        more = np.zeros(len(words), np.int64)
         if passes < max_repeats:
-            more[live] = fit_budget(pdf["size"].to_numpy()[live], pdf["n"].to_numpy()[live], want - passes * size, dp_words)
-        return pdf[["source", "size", "source_size", "target"]].assign(passes=passes, more=more)
+            more[live] = fit_budget(words[live], n[live], want - passes * size, dp_words)
+        out = lengths.select(["source", "size", "source_size", "target"])
+        return out.append_column("passes", pa.array(np.full(len(words), passes), pa.int64())).append_column("more", pa.array(more, pa.int64()))
 
     joined = hist.join(targets.select(F.col("source").alias("t_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    plan = joined.groupBy("source").applyInPandas(fit, "source string, size long, source_size long, target double, passes long, more long")
+    plan = joined.groupBy("source").applyInArrow(fit, "source string, size long, source_size long, target double, passes long, more long")
     plan = materialize(plan, "mix-plan")
     # Documents of one length, counted off over buckets of the seeded draw: a bucket is taken whole, in part or not.
     key = [F.col("source"), F.col("size")]

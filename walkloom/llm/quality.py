@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,9 +179,9 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def scorer(ranker: PairwiseRanker):
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(ranker.score(features(pa.array(text, pa.string()).cast(pa.large_string())).astype(np.float32).astype(float)))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(ranker.score(features(text).astype(np.float32).astype(float)))
 
     return score
 

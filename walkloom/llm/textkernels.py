@@ -29,7 +29,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(text: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(text: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) over runs of whole texts of about most_bytes; null is empty."""
     text = text.fill_null("").cast(pa.large_string()) if len(text) else text.cast(pa.large_string())
     _, offsets, values = text.buffers()
