@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walkloom.llm.tokens import TextTokenizer, default_tokenizer, shared_tokenizer
+from walkloom.llm.tokens import default_tokenizer, shared_tokenizer, vocabulary_size
 from walkloom.sharedfs import materialize
 
 _PARTS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("ids", pa.binary())])
@@ -243,7 +243,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids); ids are
     little-endian numbers of 16 bits (32 where the vocabulary needs them), or null unless with_ids."""
     path = tokenizer or default_tokenizer()
-    wide = "<u2" if TextTokenizer(path).vocabulary <= 1 << 16 else "<u4"
+    wide = "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = rows.mapInArrow(_tokenise(path, end_id, window, with_ids), "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary")
     parts = materialize(parts, "pack-parts", ["kind"])

@@ -119,12 +119,16 @@ class PairwiseRanker:
         z = self._expand(x)
         rng = np.random.default_rng(self.seed)
         n = min(self.pairs, 50 * len(x))
-        d = z[rng.choice(np.flatnonzero(good), n)] - z[rng.choice(np.flatnonzero(~good), n)]
-        w = np.zeros(d.shape[1])
+        above, below = rng.choice(np.flatnonzero(good), n), rng.choice(np.flatnonzero(~good), n)
+        w = np.zeros(z.shape[1])
         for _ in range(self.steps):
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-            grad = d.T @ (1 - p) - self.ridge * w
-            step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + (self.ridge + 1e-3) * np.eye(len(w)), grad)
+            grad, curve = -self.ridge * w, (self.ridge + 1e-3) * np.eye(len(w))
+            for at in range(0, n, 2000):
+                d = z[above[at : at + 2000]] - z[below[at : at + 2000]]
+                p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+                grad += d.T @ (1 - p)
+                curve += (d * (p * (1 - p))[:, None]).T @ d
+            step = np.linalg.solve(curve, grad)
             w += step * min(1.0, 5 / (np.abs(step).max() + 1e-9))
             if np.abs(step).max() < 1e-4:
                 break

@@ -50,13 +50,23 @@ def byte_ranks(rules: dict) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
 
 
+@lru_cache(8)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id, from the file alone."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    vocabulary = rules["model"]["vocab"]
+    largest = max(vocabulary.values(), default=-1) if isinstance(vocabulary, dict) else len(vocabulary) - 1
+    return 1 + max([largest, *(t["id"] for t in rules["added_tokens"] or ())])
+
+
 class TextTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
+        self.vocabulary = vocabulary_size(path)
         ranks = byte_ranks(json.loads(self.tokenizer.to_str()))
         self.fast = None
         if ranks:
