@@ -27,10 +27,10 @@ ORDER_WALKS = """
 ORDER_SEGMENTS = """
     select 'L' || cast(k as string) as locus_id, cast(s_suppkey as string) as id, cast(s_suppkey as bigint) as seg_pos, cast(1 + s_suppkey % 50 as bigint) as length
     from supplier, (select 0 as k union all select 1 union all select 2 union all select 3) t"""
-#: A reference with repeats: the suppliers of each locus's first orders, end to end.
+#: A reference with repeats: the suppliers of each locus's orders, end to end.
 ORDER_REFERENCE = f"""
     select locus_id, cast(-1 as bigint) as walk_pos, cast(row_number() over (partition by locus_id order by walk_pos, step_pos) - 1 as bigint) as step_pos, id, rev
-    from ({ORDER_STEPS}) s where walk_pos <= 120"""
+    from ({ORDER_STEPS}) s"""
 
 _DAYS = """
     select distinct user_id % 3 as k, cast(year(ts) * 400 + month(ts) * 32 + day(ts) as bigint) as d from events"""
@@ -66,8 +66,15 @@ def register(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = TABLES)
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+_registered: dict[str, str] = {}
+
+
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark, sf_dir)
+    """A query over the tables of a folder, which are registered once for a session and folder."""
+    session = str(spark._jsparkSession.sessionUUID())
+    if _registered.get(session) != sf_dir or not all(spark.catalog.tableExists(t) for t in TABLES[-1:]):
+        register(spark, sf_dir)
+        _registered[session] = sf_dir
     return spark.sql(_spark_sql(sql))
 
 

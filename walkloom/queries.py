@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from walkloom.operators import assembly, axis, backbone, bubbles, coverage, even
 from walkloom.operators.iterate import components
 from walkloom.plans import reduce as red
 from walkloom.plans import report
-from walkloom.sharedfs import materialize
-from walkloom.sources import gfa
+from walkloom.sharedfs import materialize, shared_dir
+from walkloom.sources import gfa, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,7 +332,7 @@ def unchop_chains(spark, d):
 
 # --- range and as-of joins ----------------------------------------------------------------------------------------
 
-_ITEMS = "(select l_orderkey as k, cast(l_partkey % 50 as bigint) as grp, cast(l_suppkey * 13 + l_linenumber as bigint) as a_start, cast(l_suppkey * 13 + l_linenumber + 1 + l_partkey % 9 as bigint) as a_end from lineitem where l_returnflag = 'R')"
+_ITEMS = "(select l_orderkey as k, cast(l_partkey % 50 as bigint) as grp, cast(l_suppkey * 13 + l_linenumber as bigint) as a_start, cast(l_suppkey * 13 + l_linenumber + 1 + l_partkey % 9 as bigint) as a_end from lineitem)"
 _WINDOWS = "(select s_suppkey as s, cast(s_suppkey % 50 as bigint) as grp, cast(s_suppkey * 11 as bigint) as b_start, cast(s_suppkey * 11 + 5 + s_suppkey % 20 as bigint) as b_end from supplier)"
 
 
@@ -387,10 +388,10 @@ def named_walks(spark, d):
     return walks.named_walks(lens.order_graph(spark, d).walks).select("locus_id", "walk_pos", "name")
 
 
-@query(f"select locus_id, walk_pos from {W} w where lower(sample || ' ' || seq_id || ' hap ' || cast(hap as string)) like '%s1 chr%hap 1%'")
+@query(f"select locus_id, walk_pos from {W} w where lower(sample || ' ' || seq_id || ' hap ' || cast(hap as string)) like '%s1 chr%'")
 def walk_search(spark, d):
     g = lens.order_graph(spark, d)
-    return walks.search_walks(g.walks.filter("seq_id like 'chr%' and hap = 1"), "S1 CHR").select("locus_id", "walk_pos")
+    return walks.search_walks(g.walks, "S1 CHR").select("locus_id", "walk_pos")
 
 
 @query(f"select locus_id, sample, min(walk_pos) as first_pos from {W} w group by 1, 2")
@@ -470,6 +471,36 @@ def gfa_parse(spark, d):
     return report.gfa_stats(gfa.parse(lens.template_lines(spark, d)), "ref").drop("walk_records")
 
 
+@query(SQL["gfa_parse"])
+def gfa_file_parse(spark, d):
+    """The same loci written as text files and read again."""
+    path = f"{shared_dir(spark)}/gfa-{uuid.uuid4().hex}"
+    gfa.write_lines(lens.template_lines(spark, d), path)
+    return report.gfa_stats(gfa.parse(gfa.read_lines(spark, path)), "ref").drop("walk_records")
+
+
+_NEAR = 60  # bases of context
+
+
+@query(f"""with recursive e as (select locus_id, from_id as a, to_id as b from {TL} l union select locus_id, to_id, from_id from {TL} l),
+    r as (select locus_id, id, cast(0 as bigint) as dist from {T_AXIS} x where locus_id = 'T1' and st < 150 and en > 100
+          union select e.locus_id, e.b, r.dist + case when r.dist = 0 then 0 else g.length end + 1 from r join e on e.locus_id = r.locus_id and e.a = r.id join {TG} g on g.locus_id = r.locus_id and g.id = r.id
+          where r.dist + case when r.dist = 0 then 0 else g.length end + 1 <= {_NEAR}),
+    n as (select distinct locus_id, id from r)
+    select n.id, g.length, (select count(*) from {TL} l join n a on a.id = l.from_id join n b on b.id = l.to_id where l.locus_id = 'T1') as links,
+           (select count(*) from {TS} s join n using (locus_id, id)) as steps
+    from n join {TG} g on g.locus_id = n.locus_id and g.id = n.id""")
+def locus_query(spark, d):
+    """A stored graph asked for one locus with context: its segments, each with the numbers of links and steps."""
+    g = lens.time_graph(spark, d)
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    stored.store_graph(g, _time_ref(g).select("locus_id", "walk_pos", F.lit("ref").alias("sample"), F.col("locus_id").alias("contig")), path, bin_bp=64)
+    cut = stored.read_locus(spark, path, "ref", "T1", 100, 150, context=_NEAR)
+    links, steps = cut.links.agg(F.count("*").alias("links")), cut.steps.agg(F.count("*").alias("steps"))
+    one = links.withColumn("one", F.lit(1)).join(steps.withColumn("one", F.lit(1)), "one")
+    return cut.segments.withColumn("one", F.lit(1)).join(F.broadcast(one), "one").select("id", "length", "links", "steps")
+
+
 @query(f"""select locus_id, cast(case when small then 1 else 4 end as bigint) as nodes, cast(6 as bigint) as nodes_before, w + 2 as walks, cast(140 + ref_len + case when small then 0 else alt_len end as bigint) as total_sequence_bp, cast(140 + ref_len as bigint) as reference_path_bp, true as simplified from {_CASE} c""")
 def complexity_report(spark, d):
     text = red.reduced_lines(_reduced(spark, d))

@@ -6,6 +6,8 @@ the reading of the reducer, `viewer` that of the graph views. Parsing is column
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,30 @@ from walkloom.model import STAT_TAGS, Graph
 
 
 def read_lines(spark: SparkSession, path: str, locus: str | None = None) -> DataFrame:
-    """(locus_id, line_pos, value): a locus is a file unless named. Order is the byte place of the line's split, then
-    the place in it, so that large files are read in parallel."""
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(split)
-    block = F.floor(F.col("_metadata.file_block_start") / F.lit(int(size))).cast("long")
-    place = F.shiftleft(block, 33) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
-    name = F.lit(locus) if locus else F.regexp_replace(F.col("_metadata.file_name"), r"\.gfa(\.gz)?$", "")
-    return spark.read.text(path).select(name.alias("locus_id"), place.alias("line_pos"), "value").filter(F.col("value") != "")
+    """(locus_id, line_pos, value): a locus is a file, or the folder locus_id=.. that `write_lines` makes, unless named.
+
+    line_pos orders lines by file (of a folder or a name), split and place in the split, without a shuffle: Spark never
+    cuts splits shorter than the smaller of its two size settings, so that quantum tells splits apart, and ids within a
+    task grow along a split."""
+    lines = spark.read.text(path)
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    quantum = max(1, min(as_bytes(spark.conf.get(f"spark.sql.files.{k}")) for k in ("maxPartitionBytes", "openCostInBytes")))
+    name = F.col("_metadata.file_name")
+    if locus:
+        files = sorted(unquote(f.rsplit("/", 1)[-1]) for f in lines.inputFiles())
+        number = F.create_map(*[F.lit(x) for i, f in enumerate(files) for x in (f, i)]) if files else None
+        order = F.coalesce(number[name], number[F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))]) if files else F.lit(0)
+        order, owner = F.coalesce(order, F.lit(0)), F.lit(locus)
+    elif "locus_id" in lines.columns:
+        order, owner = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("int"), F.lit(0)), F.col("locus_id").cast("string")
+    else:
+        order, owner = F.lit(0), F.regexp_replace(name, r"\.gfa(\.gz)?$", "")
+    block = F.floor(F.col("_metadata.file_block_start") / F.lit(quantum)).cast("long")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+    fits = (order < 1 << 11) & (block < 1 << 20) & (place < 1 << 32)
+    line_pos = F.shiftleft(order.cast("long"), 52) + F.shiftleft(block, 32) + place
+    line_pos = F.when(fits, line_pos).otherwise(F.raise_error(F.lit("more files, splits or lines than places")).cast("long"))
+    return lines.select(owner.alias("locus_id"), line_pos.alias("line_pos"), "value").filter(F.col("value") != "")
 
 
 def lines_of(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
