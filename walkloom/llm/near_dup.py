@@ -209,14 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = linked(pairs)
     roots = component_labels(links)
-    at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    at = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "w", F.coalesce("root", "cid").alias("root"))
     at = materialize(at, "near-at")
     open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    lead = centre.join(open_, "bucket").select("bucket", "pivot", "m")
-    lead = lead.join(roots.select(F.col("node").alias("pivot"), "root"), "pivot", "left").select("bucket", "pivot", "m", F.coalesce("root", "pivot").alias("p_root"))
+    # From here on a bucket is seen from the centre of its pivot's component, which many buckets share.
+    hub = at.groupBy("root").agg(F.max(F.struct("w", "cid"))["cid"].alias("hub"))
+    lead = centre.join(open_, "bucket").join(roots.select(F.col("node").alias("pivot"), "root"), "pivot", "left")
+    lead = lead.select("bucket", "m", F.coalesce("root", "pivot").alias("root")).join(hub, "root").select("bucket", "m", F.col("hub").alias("pivot"), F.col("root").alias("p_root"))
     lead = materialize(lead, "near-lead")
     # A pair not settled yet shares open buckets only (in any other it was compared, or is one component).
-    at = materialize(by_size(at, lead, "bucket", "cid", "pivot", "p_root"), "near-open-at")
+    at = materialize(by_size(at.drop("w"), lead, "bucket", "cid", "pivot", "p_root"), "near-open-at")
     lead = at.select("pivot", "p_root").distinct()
     open_ = materialize(at.select("pivot", "cid", "root").distinct(), "near-open")
     if open_.limit(1).count():
