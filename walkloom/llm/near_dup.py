@@ -108,9 +108,10 @@ def _sets_of(k: int):
 def _beside(percent: int):
     """(pivot, cid, root, set of cid, set of pivot) -> what cid lacks of the pivot, as bits, and what lies outside it.
     reach: largest size of another text that could be linked through the pivot's shingles alone; prefix: how many of
-    the rarest shingles outside the pivot must hold a shared one, if another text is to be linked through those."""
-    names = ["pivot", "cid", "root", "n", "pivot_n", "reach", "lacks", "prefix", "outside"]
-    kinds = [pa.binary()] * 3 + [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+    the rarest shingles outside the pivot must hold a shared one, if another text is to be linked through those; marks:
+    1024 bits of the shingles outside, and spare: how many more these are than bits."""
+    names = ["pivot", "cid", "root", "n", "pivot_n", "reach", "lacks", "prefix", "outside", "marks", "spare"]
+    kinds = [pa.binary()] * 3 + [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +123,9 @@ def _beside(percent: int):
                 need = max(1, -(-percent * len(x) // 100) - both)
                 bits = np.zeros(-(-len(p) // 64) * 64, bool)
                 bits[: len(p)] = ~np.isin(p, x, assume_unique=True)
-                out.append((c, i, root, len(x), len(p), (100 + percent) * both // percent - len(x), np.packbits(bits).view(np.int64), max(0, len(rest) - need + 1), rest.view(np.int64)))
+                marks = np.zeros(1024, bool)
+                marks[(rest % np.uint64(1024)).astype(np.int64)] = True
+                out.append((c, i, root, len(x), len(p), (100 + percent) * both // percent - len(x), np.packbits(bits).view(np.int64), max(0, len(rest) - need + 1), rest.view(np.int64), np.packbits(marks).view(np.int64), len(rest) - int(marks.sum())))
             cols = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.record_batch([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -224,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if open_.limit(1).count():
         sets = sets_of(open_.select("cid").union(open_.select("pivot")).distinct())
         beside = with_sets(open_, sets, "pivot", "cid").select("pivot", "cid", "root", "set_b", "set_a")
-        beside = materialize(beside.mapInArrow(_beside(percent), "pivot binary, cid binary, root binary, n long, pivot_n long, reach long, lacks array<long>, prefix long, outside array<long>"), "near-beside")
+        beside = materialize(beside.mapInArrow(_beside(percent), "pivot binary, cid binary, root binary, n long, pivot_n long, reach long, lacks array<long>, prefix long, outside array<long>, marks array<long>, spare long"), "near-beside")
         # Through the pivot alone: sizes meet in steps of a tenth. Members linked with the pivot are one component; the
         # side without that link is spread over the steps.
         step = lambda c: F.floor(F.log(c.cast("double")) / F.log(F.lit(1.1)))
@@ -242,10 +245,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rare = F.row_number().over(Window.partitionBy("pivot", "cid").orderBy("df", "shingle"))
         head = each.join(seen, ["pivot", "shingle"]).withColumn("place", rare).filter("place <= prefix and df > 1").select("pivot", "shingle", "cid", "root")
         # What a pair can share at most, bits of very long pivots left aside, settles most of those that meet.
-        spare = beside.select("pivot", "cid", "n", "pivot_n", F.size("outside").alias("spare"), F.when(F.size("lacks") <= 64, F.col("lacks")).alias("lacks"))
+        spare = beside.select("pivot", "cid", "n", "pivot_n", "marks", "spare", F.when(F.size("lacks") <= 64, F.col("lacks")).alias("lacks"))
         head = materialize(head.join(spare, ["pivot", "cid"]), "near-prefix")
-        other = head.select("pivot", "shingle", *[F.col(c).alias(f"o_{c}") for c in ("cid", "root", "n", "spare", "lacks")])
-        can = F.coalesce((both + F.least("spare", "o_spare")) * (100 + percent) >= size * percent, F.lit(True))
+        other = head.select("pivot", "shingle", *[F.col(c).alias(f"o_{c}") for c in ("cid", "root", "n", "marks", "spare", "lacks")])
+        alike = F.aggregate(F.zip_with("marks", "o_marks", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+        # Of two shared shingles with one mark, one is spare on either side.
+        can = F.coalesce((both + alike + F.least("spare", "o_spare")) * (100 + percent) >= size * percent, F.lit(True))
         far = head.join(other, ["pivot", "shingle"]).filter(F.expr("cid < o_cid and root <> o_root") & can).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
         more = linked(near.unionByName(far).distinct())
         if more.limit(1).count():
