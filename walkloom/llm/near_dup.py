@@ -8,9 +8,10 @@
    Pairs inside one component can change nothing, so a bucket whose members are one component is done. In the
    others, members x and y of different components are compared only if they can still be linked, given what they
    share with the pivot c: what c loses to x or y, as bits, bounds what they share inside c. Either that alone
-   suffices, which bounds |y| from above, or x and y share enough outside c, and then meet in the rarest-first
-   prefixes of x - c and y - c (prefix filter). Every other pair is provably below the threshold. Beside a pivot
-   that very many short texts almost reach, this is still a join of each with those of nearly its size.
+   suffices, which bounds |y| from above, or x and y share enough outside c, and then meet in the prefixes of x - c
+   and y - c in one order, common shingles last (prefix filter; a sample tells what is common, any order is exact).
+   Every other pair is provably below the threshold. Beside a pivot that very many short texts almost reach, this
+   is still a join of each with those of nearly its size.
 3. A pair's signatures are compared `batch` values at a time; it is dropped once the posterior probability (uniform
    prior, binomial matches) that its similarity reaches the threshold is below `miss`.
 4. Survivors are confirmed on full shingle sets: 100 * |A n B| >= 100 * threshold * |A u B| in integers. A class's
@@ -107,8 +108,8 @@ def _sets_of(k: int):
 
 def _beside(percent: int):
     """(pivot, cid, root, set of cid, set of pivot) -> what cid lacks of the pivot, as bits, and what lies outside it.
-    reach: largest size of another text that could be linked through the pivot's shingles alone; prefix: how many of
-    the rarest shingles outside the pivot must hold a shared one, if another text is to be linked through those; marks:
+    reach: largest size of another text that could be linked through the pivot's shingles alone; prefix: how many
+    shingles outside the pivot, in any order, must hold a shared one, if another text is to be linked through those; marks:
     1024 bits of the shingles outside, and spare: how many more these are than bits."""
     names = ["pivot", "cid", "root", "n", "pivot_n", "reach", "lacks", "prefix", "outside", "marks", "spare"]
     kinds = [pa.binary()] * 3 + [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
@@ -181,14 +182,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = classes.select("cid", "sig")
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     full = materialize(members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "near-full")
-    members = materialize(by_size(members, full, "bucket", "cid", "m"), "near-buckets")
+    members = materialize(by_size(members, full, "bucket", "m"), "near-buckets")
     few = members.filter(F.col("m") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("cid")).alias("c"))
     each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.lit(small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     close = few.select(F.explode(each).alias("p")).select("p.a", "p.b")
     weight = members.groupBy("cid").agg(F.sum("m").alias("w"))
     members = materialize(members.filter(F.col("m") > small).join(weight, "cid").select("bucket", "cid", "m", "w"), "near-large")
     centre = materialize(members.groupBy("bucket").agg(F.max(F.struct("w", "cid"))["cid"].alias("pivot"), F.count("*").alias("m")), "near-pivots")
-    pairs = by_size(members.select("bucket", "cid"), centre, "bucket", "cid", "pivot").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
+    pairs = by_size(members.select("bucket", "cid"), centre, "bucket", "pivot").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).unionByName(close).distinct()
 
     def sets_of(who: DataFrame) -> DataFrame:
         """(cid, shingles) of the classes in who(cid): their texts are found again by row key, cut again, and taken
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = lead.select("bucket", "m", F.coalesce("root", "pivot").alias("root")).join(hub, "root").select("bucket", "m", F.col("hub").alias("pivot"), F.col("root").alias("p_root"))
     lead = materialize(lead, "near-lead")
     # A pair not settled yet shares open buckets only (in any other it was compared, or is one component).
-    at = materialize(by_size(at.drop("w"), lead, "bucket", "cid", "pivot", "p_root"), "near-open-at")
+    at = materialize(by_size(at.drop("w"), lead, "bucket", "pivot", "p_root"), "near-open-at")
     lead = at.select("pivot", "p_root").distinct()
     open_ = materialize(at.select("pivot", "cid", "root").distinct(), "near-open")
     if open_.limit(1).count():
@@ -240,10 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inside = (both * (100 + percent) >= size * percent) & F.expr("root <> o_root and o_n <= reach and n <= o_reach")
         near = near.join(other, ["pivot", "step"]).filter(inside).select(F.least("cid", "o_cid").alias("a"), F.greatest("cid", "o_cid").alias("b"))
         # Outside the pivot: shared shingles among the rarest of each.
-        each = beside.filter("prefix > 0").select("pivot", "cid", "root", "prefix", F.explode("outside").alias("shingle"))
-        seen = each.groupBy("pivot", "shingle").agg(F.count("*").alias("df"))
-        rare = F.row_number().over(Window.partitionBy("pivot", "cid").orderBy("df", "shingle"))
-        head = each.join(seen, ["pivot", "shingle"]).withColumn("place", rare).filter("place <= prefix and df > 1").select("pivot", "shingle", "cid", "root")
+        each = materialize(prefixes(beside).select("pivot", "cid", "root", F.explode("head").alias("shingle")), "near-heads")
+        seen = each.groupBy("pivot", "shingle").agg(F.count("*").alias("df")).filter("df > 1")
+        head = each.join(seen, ["pivot", "shingle"]).select("pivot", "shingle", "cid", "root")
         # What a pair can share at most, bits of very long pivots left aside, settles most of those that meet.
         spare = beside.select("pivot", "cid", "n", "pivot_n", "marks", "spare", F.when(F.size("lacks") <= 64, F.col("lacks")).alias("lacks"))
         head = materialize(head.join(spare, ["pivot", "cid"]), "near-prefix")
@@ -258,25 +258,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = classes.select(F.col("cid").alias("digest"), "low").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     comp = materialize(comp, "near-roots")
     named = materialize(comp.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("m")), "near-names")
-    comp = materialize(by_size(comp.select("digest", "root"), named, "root", "digest", "component_id"), "near-components")
+    comp = materialize(by_size(comp.select("digest", "root"), named, "root", "component_id"), "near-components")
     return _attach(sketch, comp)
 
 
-def by_size(rows: DataFrame, info: DataFrame, key: str, name: str, *values: str, heavy: int = 2000) -> DataFrame:
-    """rows(key, name, ..) joined with info(key, m, values..), one row a key, m its number of rows. Keys of more than a
-    share of 1 / heavy of the rows, of which there are fewer than `heavy`, come by broadcast, so that no join key is
-    hot; name (hashed) spreads their rows."""
+def prefixes(beside: DataFrame, sample: int = 32) -> DataFrame:
+    """beside(pivot, cid, root, prefix, outside ascending) -> (pivot, cid, root, head): the first `prefix` shingles of
+    outside in an order that all members of a pivot share: those common there last. Two members with as many shared
+    shingles outside as prefix asks for share one of their heads in any such order, so a sample of about `sample`
+    members decides what is common; it changes how many meet, not what is found. Where it has all members, shingles of
+    one member, which meet nothing, are left out."""
+    some = beside.filter("prefix > 0").select("pivot", "cid", "root", "prefix", "outside")
+    size = materialize(some.groupBy("pivot").agg(F.count("*").alias("m")).filter("m > 1"), "near-sizes")
+    some = materialize(by_size(some, size, "pivot", "m"), "near-outside")
+    told = some.filter(F.pmod(F.xxhash64("cid"), F.col("m")) < sample).select("pivot", F.explode("outside").alias("shingle"))
+    common = told.groupBy("pivot", "shingle").agg(F.count("*").alias("df")).filter("df > 1").groupBy("pivot").agg(F.collect_list("shingle").alias("common"))
+    common = materialize(size.join(common, "pivot", "left").select("pivot", "m", F.coalesce("common", F.array().cast("array<long>")).alias("common")), "near-common")
+    some = by_size(some, common, "pivot", "common", heavy=200)
+    head = F.slice(F.concat(F.array_except("outside", "common"), F.array_intersect("outside", "common")), F.lit(1), F.col("prefix").cast("int"))
+    return some.select("pivot", "cid", "root", F.when(F.col("m") <= sample, F.array_intersect(head, "common")).otherwise(head).alias("head"))
+
+
+def by_size(rows: DataFrame, info: DataFrame, key: str, *values: str, heavy: int = 2000) -> DataFrame:
+    """rows(key, ..) joined with info(key, m, values..), one row a key, m its number of rows. Rows of keys with more
+    than a share of 1 / heavy of them, of which there are fewer than `heavy`, are told apart by literals and looked
+    up by broadcast, so that no join key is hot and rows without a key in info meet no more than one join."""
     total = info.agg(F.sum("m")).first()[0] or 0
     often = F.col("m") > max(1, total // heavy)
-    big = info.filter(often).select(F.col(key).alias("b_key"), *[F.col(v).alias(f"b_{v}") for v in values])
-    rest = info.filter(~often).select(F.col(key).alias("look"), *[F.col(v).alias(f"s_{v}") for v in values])
+    hot = [r[0] for r in info.filter(often).select(key).collect()]
     names = [c for c in rows.columns if c not in values]
-    near = rows.select(*names).join(F.broadcast(big), F.col(key) == F.col("b_key"), "left")
-    # Rows of the heavy ones find nothing more, wherever their keys lead.
-    spread = F.xxhash64(name)
-    near = near.withColumn("seek", F.when(F.col("b_key").isNull(), F.col(key)).otherwise(spread if dict(rows.dtypes)[key] == "bigint" else spread.cast("string").cast("binary")))
-    near = near.join(rest, F.col("seek") == F.col("look"), "left").filter("b_key is not null or look is not null")
-    return near.select(*names, *[F.when(F.col("b_key").isNotNull(), F.col(f"b_{v}")).otherwise(F.col(f"s_{v}")).alias(v) for v in values])
+    rows, info = rows.select(*names), info.select(key, "m", *[F.col(v).alias(f"i_{v}") for v in values])
+    out = [*names, *[F.col(f"i_{v}").alias(v) for v in values]]
+    if not hot:
+        return rows.join(info.drop("m"), key).select(*out)
+    is_hot = F.expr(f"`{key}` in ({', '.join(f'{k}L' if isinstance(k, int) else f"X'{bytes(k).hex()}'" for k in hot)})")
+    near = rows.filter(is_hot).join(F.broadcast(info.filter(often).drop("m")), key)
+    return near.select(*out).unionByName(rows.filter(~is_hot).join(info.filter(~often).drop("m"), key).select(*out))
 
 
 def _attach(sketch: DataFrame, comp: DataFrame, heavy_share: float = 0.001) -> DataFrame:
